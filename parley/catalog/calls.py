@@ -219,11 +219,11 @@ def service_json(words, channels: bool):
             F.array(F.struct("content")).alias("alternatives"),
         ),
     )
-    ordered = lambda: F.transform(F.array_sort(F.collect_list(F.struct("seq", "item"))), lambda x: x["item"])
+    ordered = lambda: F.sort_array(F.collect_list(F.struct("seq", "item")))["item"]
     if channels:
         chan = items.groupBy("recording_id", "channel").agg(ordered().alias("items"))
         doc = chan.groupBy("recording_id").agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct(F.concat(F.lit("ch_"), "channel").alias("channel_label"), "items")
                 )

@@ -63,8 +63,7 @@ def largest(expr: Column) -> Fold:
 
 def in_order(value: Column, order: Column) -> Column:
     """Values of a group as an array sorted by ``order``."""
-    pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
-    return F.transform(pairs, lambda x: x["v"])
+    return F.sort_array(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))["v"]
 
 
 def joined(expr: Column | str, sep: str) -> Fold:
@@ -90,9 +89,10 @@ def islands(
     """Fold runs of consecutive rows; a run ends where ``breaks`` holds.
 
     ``breaks(prev, cur)`` gets two accessors over the ``carry`` columns of the
-    previous and the current row. One shuffle on (keys, chunk) carries the
-    data. Runs that touch a chunk edge are joined afterwards from at most two
-    rows per chunk; all others are final where they are.
+    previous and the current row. Rows are folded into pieces per (keys,
+    chunk). Only pieces that touch a chunk edge, at most two per chunk, are
+    then ordered per key; inner pieces stay spread by chunk. Two shuffles, the
+    second one of pieces.
     """
     keys = list(keys)
     part = [*keys, "_chunk"]
@@ -117,27 +117,28 @@ def islands(
     )
     pieces = pieces.withColumn("_pieces", F.max("_piece").over(Window.partitionBy(*part)))
     edge = (F.col("_piece") == 1) | (F.col("_piece") == F.col("_pieces"))
-    place = F.struct(F.col("_chunk"), F.col("_piece"))
-
-    along = Window.partitionBy(*keys).orderBy("_chunk", "_piece")
-    ends = (
-        pieces.filter(edge)
-        .withColumn("_ptail", F.lag("_tail").over(along))
-        .withColumn("_pchunk", F.lag("_chunk").over(along))
+    # Edge pieces of a key share one lane; inner pieces keep their chunk's.
+    laned = pieces.withColumn("_lane", F.when(~edge, F.col("_chunk")))
+    lane = [*keys, "_lane"]
+    along = Window.partitionBy(*lane).orderBy("_chunk", "_piece")
+    before = laned.withColumn(
+        "_before", F.lag(F.struct(F.col("_chunk").alias("chunk"), F.col("_tail").alias("tail"))).over(along)
     )
     fresh = (
-        F.col("_ptail").isNull()
-        | (F.col("_pchunk") == F.col("_chunk"))
-        | F.coalesce(breaks(lambda c: F.col("_ptail")[c], lambda c: F.col("_head")[c]), F.lit(False))
+        F.col("_before").isNull()
+        | (F.col("_before.chunk") == F.col("_chunk"))
+        | F.coalesce(
+            breaks(lambda c: F.col("_before")["tail"][c], lambda c: F.col("_head")[c]), F.lit(False)
+        )
     )
-    ends = ends.withColumn("_fresh", F.when(fresh, 1).otherwise(0)).withColumn(
+    runs = before.withColumn("_fresh", F.when(fresh, 1).otherwise(0)).withColumn(
         "_run", F.sum("_fresh").over(along.rowsBetween(Window.unboundedPreceding, 0))
     )
-    whole = ends.groupBy(*keys, "_run").agg(
+    place = F.struct(F.col("_chunk"), F.col("_piece"))
+    whole = runs.groupBy(*lane, "_run").agg(
         *[f.merge(F.col(name), place).alias(name) for name, f in folds.items()]
     )
-    out = [*keys, *folds]
-    return pieces.filter(~edge).select(*out).unionByName(whole.select(*out))
+    return whole.select(*keys, *folds)
 
 
 def running_total(

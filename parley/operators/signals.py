@@ -56,9 +56,7 @@ def reframe(samples: DataFrame, frame_len: int) -> DataFrame:
         samples.withColumn("frame_no", F.floor(F.col("idx") / f).cast("long"))
         .groupBy("recording_id", "frame_no")
         .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]
-            ).alias("samples")
+            F.sort_array(F.collect_list(F.struct("idx", "value")))["value"].alias("samples")
         )
     )
     return frames.filter(F.size("samples") == f)

@@ -96,32 +96,33 @@ def attribute(
         F.explode(F.sequence(bucket(F.col("t.s")), bucket(F.greatest(F.col("t.s"), F.col("t.e"))))),
     )
 
-    keyed = words.withColumn("_mid", mid).withColumn("_mb", bucket(mid))
-    cells = keyed.select(
-        "recording_id",
-        "channel",
-        "seq",
+    known = ["recording_id", "channel", "seq"]
+    rest = [c for c in words.columns if c not in known]
+    keyed = words.select(
+        *known,
         "start",
         "end",
-        "_mid",
-        "_mb",
-        F.explode(
-            F.array_distinct(
-                F.concat(
-                    F.sequence(bucket(F.col("start")), bucket(F.greatest(F.col("start"), F.col("end")))),
-                    F.array(F.col("_mb")),
-                )
-            )
-        ).alias("_b"),
+        F.struct(*rest).alias("_word"),
+        mid.alias("_mid"),
+        bucket(mid).alias("_mb"),
+    )
+    touched = F.array_distinct(
+        F.concat(
+            F.sequence(bucket(F.col("start")), bucket(F.greatest(F.col("start"), F.col("end")))),
+            F.array(F.col("_mb")),
+        )
     )
-    carried = _carried_turns(spread, keyed, bucket)
+    cells = keyed.withColumn("_b", F.explode(touched))
+    carried = _carried_turns(spread, words.select("recording_id", bucket(mid).alias("_mb")), bucket)
     t = F.col("t")
     overlap = F.greatest(
         F.least(F.col("end"), t["e"]) - F.greatest(F.col("start"), t["s"]), F.lit(0.0)
     )
     met = cells.join(near, ["recording_id", "_b"], "left").join(
-        carried, ["recording_id", "_mb"], "left"
+        carried.withColumnRenamed("_mb", "_b"), ["recording_id", "_b"], "left"
     )
+    # The carried turns hold for the midpoint's bucket only.
+    at_mid = F.col("_b") == F.col("_mb")
     m = F.col("_mid")
     away = lambda c: F.when(m < c["s"], c["s"] - m).when(m > c["e"], m - c["e"]).otherwise(0.0)
     rank = lambda c, hit: F.struct(
@@ -130,35 +131,40 @@ def attribute(
         F.when(hit, c["q"]).otherwise(-c["q"]).alias("tie"),
         c["l"].alias("label"),
     )
-    choices = F.filter(
+    no = F.lit(False)
+    best = F.array_max(
         F.array(
             F.when(t.isNotNull(), rank(t, overlap > 0)),
-            F.when(F.col("_before").isNotNull(), rank(F.col("_before"), F.lit(False))),
-            F.when(F.col("_after").isNotNull(), rank(F.col("_after"), F.lit(False))),
-        ),
-        lambda c: c.isNotNull(),
-    )
-    picked = (
-        met.select("recording_id", "channel", "seq", F.array_max(choices).alias("_best"))
-        .groupBy("recording_id", "channel", "seq")
-        .agg(F.max("_best").alias("_best"))
-        .select("recording_id", "channel", "seq", F.col("_best.label").alias("label"))
+            F.when(at_mid & F.col("_before").isNotNull(), rank(F.col("_before"), no)),
+            F.when(at_mid & F.col("_after").isNotNull(), rank(F.col("_after"), no)),
+        )
     )
-    return words.join(picked, ["recording_id", "channel", "seq"], "left").withColumn(
-        "label", F.coalesce("label", F.lit(fallback))
+    return (
+        met.select(*known, "_word", best.alias("_best"))
+        .groupBy(*known)
+        .agg(F.any_value("_word").alias("_word"), F.max("_best").alias("_best"))
+        .select(
+            *[F.col(c) if c in known else F.col("_word")[c].alias(c) for c in words.columns],
+            F.coalesce(F.col("_best.label"), F.lit(fallback)).alias("label"),
+        )
     )
 
 
-def _carried_turns(spread: DataFrame, keyed: DataFrame, bucket) -> DataFrame:
+def _carried_turns(spread: DataFrame, wanted: DataFrame, bucket) -> DataFrame:
     """Per word bucket: the last turn ending before it, the first starting after it."""
-    ends = spread.groupBy("recording_id", bucket(F.col("t.e")).alias("_mb")).agg(
-        F.max_by("t", F.struct(F.col("t.e"), -F.col("t.q"))).alias("_ended")
-    )
-    starts = spread.groupBy("recording_id", bucket(F.col("t.s")).alias("_mb")).agg(
-        F.min_by("t", F.struct(F.col("t.s"), F.col("t.q"))).alias("_began")
+    none = F.lit(None).cast(spread.schema["t"].dataType)
+    marks = (
+        spread.select("recording_id", bucket(F.col("t.e")).alias("_mb"), F.col("t").alias("_e"), none.alias("_s"))
+        .unionByName(
+            spread.select("recording_id", bucket(F.col("t.s")).alias("_mb"), none.alias("_e"), F.col("t").alias("_s"))
+        )
+        .unionByName(wanted.select("recording_id", "_mb", none.alias("_e"), none.alias("_s")))
+        .groupBy("recording_id", "_mb")
+        .agg(
+            F.max_by("_e", F.when(F.col("_e").isNotNull(), F.struct(F.col("_e.e"), -F.col("_e.q")))).alias("_ended"),
+            F.min_by("_s", F.when(F.col("_s").isNotNull(), F.struct(F.col("_s.s"), F.col("_s.q")))).alias("_began"),
+        )
     )
-    wanted = keyed.select("recording_id", "_mb").distinct()
-    marks = wanted.join(ends, ["recording_id", "_mb"], "full").join(starts, ["recording_id", "_mb"], "full")
     by_time = Window.partitionBy("recording_id").orderBy("_mb")
     # Ends grow with the bucket, so the last marked bucket before holds the
     # greatest end; starts likewise on the other side.
