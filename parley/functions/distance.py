@@ -13,7 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-SHORT_CELLS = 40_000
+from parley.functions.flow import let
+
+SHORT_CELLS = 2_500
 _FIRST_CODE = 256
 _COUNTS = (
     StructType()
@@ -109,16 +111,17 @@ def counts(ref: Column, hyp: Column) -> Column:
 def token_distance(ref: Column, hyp: Column) -> Column:
     """Edit distance of two token arrays as a BIGINT."""
     short = F.size(ref).cast("long") * F.size(hyp).cast("long") <= SHORT_CELLS
-    vocab = F.array_distinct(F.concat(ref, hyp))
-    as_text = lambda toks: F.array_join(
-        F.transform(
-            toks,
-            lambda t: F.decode(
-                F.unhex(F.lpad(F.hex(F.array_position(vocab, t) + _FIRST_CODE), 4, "0")), "UTF-16BE"
-            ),
-        ),
-        "",
+    long_way = _long_distance(F.when(~short, ref), F.when(~short, hyp))
+    return F.when(short, _short_distance(ref, hyp)).otherwise(long_way)
+
+
+def _short_distance(ref: Column, hyp: Column) -> Column:
+    """Built-in character distance over one code point per distinct token."""
+    code = lambda v, t: F.decode(
+        F.unhex(F.lpad(F.hex(F.array_position(v, t) + _FIRST_CODE), 4, "0")), "UTF-16BE"
     )
-    return F.when(short, F.levenshtein(as_text(ref), as_text(hyp)).cast("long")).otherwise(
-        _long_distance(F.when(~short, ref), F.when(~short, hyp))
+    spell = lambda v, toks: F.array_join(F.transform(toks, lambda t: code(v, t)), "")
+    return let(
+        F.array_distinct(F.concat(ref, hyp)),
+        lambda v: F.levenshtein(spell(v, ref), spell(v, hyp)).cast("long"),
     )

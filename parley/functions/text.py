@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from parley.functions.flow import let
+
 # Typographic characters folded before scoring.
 FOLD_FROM = "‘’‛“”–—− "
 FOLD_TO = "'''\"\"--- "
@@ -51,14 +53,16 @@ def nfc(text: Column) -> Column:
 
 def drop_cues(text: Column) -> Column:
     """Replace bracketed cues by a space until none is left, however nested."""
-    once = F.regexp_replace(text, CUE, " ")
-    openings = F.length(F.regexp_replace(once, r"[^\[(]", ""))
-    rest = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(openings, F.lit(1))),
-        once,
-        lambda acc, _: F.when(acc.rlike(CUE), F.regexp_replace(acc, CUE, " ")).otherwise(acc),
-    )
-    return F.when(once.rlike(CUE), rest).otherwise(once)
+    def finish(once: Column) -> Column:
+        openings = F.length(F.regexp_replace(once, r"[^\[(]", ""))
+        rest = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(openings, F.lit(1))),
+            once,
+            lambda acc, _: F.when(acc.rlike(CUE), F.regexp_replace(acc, CUE, " ")).otherwise(acc),
+        )
+        return F.when(once.rlike(CUE), rest).otherwise(once)
+
+    return let(F.regexp_replace(text, CUE, " "), finish)
 
 
 def normal_tokens(text: Column, composed: bool = False) -> Column:

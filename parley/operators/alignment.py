@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from parley.functions import text
+from parley.functions.flow import hold
 from parley.operators.ordered import first, islands, rows, time_chunk
 
 SHINGLE = 5
@@ -89,12 +90,15 @@ def align_clips(pairs: DataFrame, composed: bool = False) -> DataFrame:
         text.normal_tokens(w, True), lambda n: F.struct(n.alias("word"), i.cast("long").alias("at"))
     )
     ref = F.col("ref") if composed else text.nfc(F.col("ref"))
-    tok = (
-        pairs.withColumn("_raw", text.raw_tokens(ref))
-        .withColumn("_ref", F.flatten(F.transform("_raw", words_of)))
-        .withColumn("_hyp", text.normal_tokens(F.col("hyp"), composed))
-        .withColumn("_blocks", _common_blocks(F.col("_ref.word"), F.col("_hyp")))
+    split = hold(
+        pairs.withColumn("_raw", text.raw_tokens(ref)).withColumn(
+            "_hyp", text.normal_tokens(F.col("hyp"), composed)
+        ),
+        "_raw",
+        "_hyp",
     )
+    mapped = hold(split.withColumn("_ref", F.flatten(F.transform("_raw", words_of))), "_ref")
+    tok = hold(mapped.withColumn("_blocks", _common_blocks(F.col("_ref.word"), F.col("_hyp"))), "_blocks")
     size, clip = F.size("_ref").cast("long"), F.size("_hyp").cast("long")
     longest = F.array_max(
         F.transform("_blocks", lambda x: F.struct(x["n"].alias("n"), -x["a"], (x["a"] - x["b"]).alias("shift")))
@@ -105,7 +109,7 @@ def align_clips(pairs: DataFrame, composed: bool = False) -> DataFrame:
     inside = F.filter(
         "_blocks", lambda x: (x["a"] >= low - margin) & (x["a"] < high + margin)
     )
-    used = tok.withColumn("_longest", longest).withColumn("_in", inside)
+    used = hold(hold(tok.withColumn("_longest", longest), "_longest").withColumn("_in", inside), "_in")
     at = lambda pos: F.col("_ref.at")[pos.cast("int")]
     spans = (
         used.withColumn("ref_words_total", size)

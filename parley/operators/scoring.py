@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from parley.functions import distance, text
+from parley.functions.flow import hold
 from parley.operators.ordered import in_order
 
 MAX_SPEAKERS = 20
@@ -44,11 +45,15 @@ def rate(errors: Column, words: Column) -> Column:
 
 def word_error_rates(pairs: DataFrame, composed: bool = False, details: bool = True) -> DataFrame:
     """Normalized and raw word error rates of (ref, hyp) rows."""
-    tok = (
+    tok = hold(
         pairs.withColumn("_r", text.normal_tokens(F.col("ref"), composed))
         .withColumn("_h", text.normal_tokens(F.col("hyp"), composed))
         .withColumn("_rr", text.raw_tokens(F.col("ref")))
-        .withColumn("_rh", text.raw_tokens(F.col("hyp")))
+        .withColumn("_rh", text.raw_tokens(F.col("hyp"))),
+        "_r",
+        "_h",
+        "_rr",
+        "_rh",
     )
     n, m = F.size("_r").cast("long"), F.size("_h").cast("long")
     out = tok.withColumn("ref_words", n).withColumn("hyp_words", m)
@@ -102,17 +107,14 @@ def speaker_distances(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFr
         hyp.select(*keys, F.col("speaker_key").alias("hyp_key"), F.col("text").alias("_h")), keys
     )
     tokens = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    return (
-        pairs.withColumn("_r", tokens(F.col("_r")))
-        .withColumn("_h", tokens(F.col("_h")))
-        .select(
-            *keys,
-            "ref_key",
-            "hyp_key",
-            F.size("_r").cast("long").alias("ref_words"),
-            F.size("_h").cast("long").alias("hyp_words"),
-            distance.token_distance(F.col("_r"), F.col("_h")).alias("errors"),
-        )
+    split = pairs.withColumn("_r", tokens(F.col("_r"))).withColumn("_h", tokens(F.col("_h")))
+    return hold(split, "_r", "_h").select(
+        *keys,
+        "ref_key",
+        "hyp_key",
+        F.size("_r").cast("long").alias("ref_words"),
+        F.size("_h").cast("long").alias("hyp_words"),
+        distance.token_distance(F.col("_r"), F.col("_h")).alias("errors"),
     )
 
 
