@@ -225,7 +225,7 @@ def _corr(a: str, b: str) -> Column:
 
 def echo_scores(frames: DataFrame, frame_len: int, window: int) -> DataFrame:
     """Suppression, near-end preservation and their weighted sum per recording."""
-    w = window_stats(frames, frame_len, window, ["mic", "far", "clean"])
+    w = window_stats(frames, frame_len, window, ["mic", "clean", "far"])
     ids = frames.select("recording_id").distinct()
     heard = F.col("far_far") > FAR_FLOOR
     residual = F.avg(F.when(heard, F.abs(_corr("clean", "far"))))
