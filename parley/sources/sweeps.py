@@ -42,7 +42,10 @@ def read_engine_rows(spark: SparkSession, *paths: str) -> DataFrame:
 
 def read_spec(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Runs (run, flags) and fixtures (fixture, ...) of a sweep specification."""
-    spec = spark.read.schema(SPEC_SCHEMA).json(path, multiLine=True)
+    return explode_spec(spark.read.schema(SPEC_SCHEMA).json(path, multiLine=True))
+
+
+def explode_spec(spec: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs = spec.select(F.posexplode("runs").alias("ord", "r")).select("ord", F.col("r.name").alias("run"), "r.flags")
     fixtures = spec.select(F.posexplode("fixtures").alias("ord", "f")).select(
         "ord", F.col("f.id").alias("fixture"), "f.wav", "f.ref", "f.turns", "f.near"
@@ -50,8 +53,8 @@ def read_spec(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return runs, fixtures
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    doc = spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=True)
+def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    doc = spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=multi_line)
     return doc.select("source", F.explode("episodes").alias("e")).select("source", "e.*")
 
 

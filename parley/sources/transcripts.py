@@ -36,9 +36,9 @@ def _segments(df: DataFrame) -> DataFrame:
     )
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Diarized transcripts, one JSON document per file."""
-    raw = spark.read.schema(TRANSCRIPT_SCHEMA).json(path, multiLine=True)
+def read_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Diarized transcripts, one JSON document per file (or per line)."""
+    raw = spark.read.schema(TRANSCRIPT_SCHEMA).json(path, multiLine=multi_line)
     return _segments(raw.select(from_path().alias("recording_id"), F.struct("segments", "transcript").alias("doc")))
 
 
@@ -100,7 +100,9 @@ def flat_service_segments(rows: DataFrame) -> DataFrame:
 
 def read_reference_text(spark: SparkSession, path: str) -> DataFrame:
     """Plain reference texts, one whole file per row, verbatim."""
-    return spark.read.text(path, wholetext=True).select(from_path().alias("fixture"), F.col("value").alias("text"))
+    raw = spark.read.text(path, wholetext=True)
+    folders = [c for c in raw.columns if c != "value"]
+    return raw.select(*folders, from_path().alias("fixture"), F.col("value").alias("text"))
 
 
 def read_reference_turns(spark: SparkSession, path: str) -> DataFrame:
