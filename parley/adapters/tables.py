@@ -12,9 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import clock
+from parley.session import spread
 from parley.sources.tables import jurisdictions
 
 TURN_MS = 600_000
+# Tables whose rows cost much work each, by their row keys.
+_ROW_KEYS = {
+    "documents": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
+    "embeddings": ["vec_id"],
+    "pages": ["page_id"],
+}
 NOW = "2002-01-01 00:00:00"
 BUNDLES = [
     "us.zoom.xos",
@@ -42,7 +50,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df, *_ROW_KEYS[name]) if name in _ROW_KEYS else df
 
     @cached_property
     def words(self) -> DataFrame:

@@ -8,6 +8,7 @@ from parley.adapters import duck as d
 from parley.adapters.tables import Tables, damaged
 from parley.catalog.registry import query
 from parley.functions import text
+from parley.functions.flow import hold
 from parley.operators import alignment, scoring, speakers
 from parley.operators import transcripts as tr
 
@@ -19,7 +20,7 @@ from parley.operators import transcripts as tr
 )
 def normalized_documents(spark, sf):
     doc = Tables(spark, sf).raw("documents").select("doc_id", text.normal_tokens(F.col("text")).alias("t"))
-    return doc.select("doc_id", F.array_join("t", " ").alias("normalized"), F.size("t").cast("long").alias("tokens"))
+    return hold(doc, "t").select("doc_id", F.array_join("t", " ").alias("normalized"), F.size("t").cast("long").alias("tokens"))
 
 
 # Edit distance by dynamic programming over weights that count edits first and

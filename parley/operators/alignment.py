@@ -22,7 +22,7 @@ _BLOCKS = ArrayType(StructType().add("a", LongType()).add("b", LongType()).add("
 
 def shingles(docs: DataFrame, key: str, tokens: Column, n: int = SHINGLE) -> DataFrame:
     """One row per n-token window: key, pos, gram (64-bit hash) and its words."""
-    toks = docs.select(key, tokens.alias("_t")).filter(F.size("_t") >= n)
+    toks = hold(docs.select(key, tokens.alias("_t")), "_t").filter(F.size("_t") >= n)
     grams = F.transform(
         F.sequence(F.lit(1), F.size("_t") - n + 1),
         lambda i: F.array_join(F.slice("_t", i, n), " "),

@@ -46,17 +46,16 @@ def rate(errors: Column, words: Column) -> Column:
 def word_error_rates(pairs: DataFrame, composed: bool = False, details: bool = True) -> DataFrame:
     """Normalized and raw word error rates of (ref, hyp) rows."""
     tok = hold(
-        pairs.withColumn("_r", text.normal_tokens(F.col("ref"), composed))
-        .withColumn("_h", text.normal_tokens(F.col("hyp"), composed))
-        .withColumn("_rr", text.raw_tokens(F.col("ref")))
-        .withColumn("_rh", text.raw_tokens(F.col("hyp"))),
+        pairs.withColumn("_r", text.normalize(F.col("ref"), composed))
+        .withColumn("_h", text.normalize(F.col("hyp"), composed))
+        .withColumn("_rr", text.collapse(F.col("ref")))
+        .withColumn("_rh", text.collapse(F.col("hyp"))),
         "_r",
         "_h",
         "_rr",
         "_rh",
     )
-    n, m = F.size("_r").cast("long"), F.size("_h").cast("long")
-    out = tok.withColumn("ref_words", n).withColumn("hyp_words", m)
+    out = tok.withColumn("ref_words", distance.words(F.col("_r"))).withColumn("hyp_words", distance.words(F.col("_h")))
     if details:
         out = (
             out.withColumn("_c", distance.counts(F.col("_r"), F.col("_h")))
@@ -68,11 +67,10 @@ def word_error_rates(pairs: DataFrame, composed: bool = False, details: bool = T
         )
     else:
         out = out.withColumn("errors", distance.token_distance(F.col("_r"), F.col("_h")))
-    raw = distance.token_distance(F.col("_rr"), F.col("_rh"))
     return (
-        out.withColumn("raw_errors", raw)
+        out.withColumn("raw_errors", distance.token_distance(F.col("_rr"), F.col("_rh")))
         .withColumn("wer_normalized", rate(F.col("errors"), F.col("ref_words")))
-        .withColumn("wer_raw", rate(F.col("raw_errors"), F.size("_rr").cast("long")))
+        .withColumn("wer_raw", rate(F.col("raw_errors"), distance.words(F.col("_rr"))))
         .drop("_r", "_h", "_rr", "_rh")
     )
 
@@ -106,14 +104,12 @@ def speaker_distances(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFr
     pairs = ref.select(*keys, F.col("speaker_key").alias("ref_key"), F.col("text").alias("_r")).join(
         hyp.select(*keys, F.col("speaker_key").alias("hyp_key"), F.col("text").alias("_h")), keys
     )
-    tokens = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    split = pairs.withColumn("_r", tokens(F.col("_r"))).withColumn("_h", tokens(F.col("_h")))
-    return hold(split, "_r", "_h").select(
+    return pairs.select(
         *keys,
         "ref_key",
         "hyp_key",
-        F.size("_r").cast("long").alias("ref_words"),
-        F.size("_h").cast("long").alias("hyp_words"),
+        distance.words(F.col("_r")).alias("ref_words"),
+        distance.words(F.col("_h")).alias("hyp_words"),
         distance.token_distance(F.col("_r"), F.col("_h")).alias("errors"),
     )
 
@@ -197,7 +193,7 @@ def speaker_error_rate(
     words = (
         ref.join(ok, keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != ""))).alias("ref_words"))
+        .agg(F.sum(distance.words(F.col("text"))).alias("ref_words"))
     )
     scored = per_call.select(*keys, _assign("_cells").alias("errors")).join(words, keys, "left")
     note = F.concat(

@@ -42,6 +42,19 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a scan of few splits enough tasks for costly per-row work.
+
+    Text work on one large row group would run in one task. Scans that already
+    have a task per core, as any large table does, are left without a shuffle.
+    ``keys`` should identify a row, so that no key can pile up.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder."""
     return f"{shared_root(spark)}/parley/{name}-{uuid.uuid4().hex}"
