@@ -306,7 +306,7 @@ class Tables:
         n = (F.col("o_orderkey") * 7 + F.col("c_nationkey") * 3 + F.col("ord") * 11).cast("long")
         idx = F.when(abroad, n % 66).otherwise(1 + n % 51)
         return seats.select("call_id", "ord", "o_orderkey", idx.cast("int").alias("_i")).join(
-            F.broadcast(j.withColumnRenamed("ord", "_i").withColumnRenamed("id", "jurisdiction_id")), "_i", "left"
+            j.withColumnRenamed("ord", "_i").withColumnRenamed("id", "jurisdiction_id"), "_i", "left"
         ).select(
             "call_id",
             "ord",

@@ -266,7 +266,7 @@ def call_consent_facts(spark, sf):
 )
 def nations_by_region(spark, sf):
     t = Tables(spark, sf)
-    places = t.raw("nation").join(F.broadcast(t.raw("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return consent.by_region(
         places.select(F.col("r_name").alias("region"), F.col("n_name").alias("id"), F.col("n_nationkey").alias("ord"))
     )
@@ -279,7 +279,7 @@ def nations_by_region(spark, sf):
 )
 def place_search(spark, sf):
     t = Tables(spark, sf)
-    places = t.raw("customer").join(F.broadcast(t.raw("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    places = t.raw("customer").join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return consent.search(places.select(F.col("c_name").alias("name"), F.col("n_name").alias("region")), " Nation_1 ")
 
 

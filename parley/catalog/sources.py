@@ -213,7 +213,7 @@ def place_dimension(spark, sf):
     """A jurisdiction file written from the nations and read as a dimension."""
     path = scratch(spark, "places")
     t = Tables(spark, sf)
-    place = t.raw("nation").join(F.broadcast(t.raw("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    place = t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("r_name").alias("region"),
         F.lit("country").alias("scope"), F.when(F.col("n_nationkey") % 3 == 0, "all-party").otherwise("one-party").alias("consent"),
     )

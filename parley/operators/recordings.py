@@ -123,17 +123,20 @@ def with_artifacts(recordings: DataFrame, files: DataFrame, checkpoints: DataFra
     checkpoints: id, version, ...; only the supported version counts.
     """
     audio = files.select(F.col("path").alias("audio_path"), F.col("length").alias("audio_bytes"))
-    notes = files.select(F.col("path").alias("note_path"), F.lit(True).alias("_note"))
+    notes = files.select(F.col("path").alias("_np"), F.lit(True).alias("_note"))
     valid = checkpoints.filter(F.col("version") == CHECKPOINT_VERSION).select("id", F.lit(True).alias("_cp"))
+    # Rows without a note would all meet in one task under a NULL key.
+    note_key = F.coalesce("note_path", F.concat(F.lit("\u0000"), "id"))
     return (
-        recordings.join(audio, "audio_path", "left")
-        .join(notes, "note_path", "left")
+        recordings.withColumn("_np", note_key)
+        .join(audio, "audio_path", "left")
+        .join(notes, "_np", "left")
         .join(valid.distinct(), "id", "left")
         .withColumn("audio_exists", F.col("audio_bytes").isNotNull())
         .withColumn("note_exists", F.coalesce("_note", F.lit(False)))
         .withColumn("checkpoint_valid", F.coalesce("_cp", F.lit(False)))
         .withColumn("recovery_exists", F.col("audio_exists") | F.col("checkpoint_valid"))
-        .drop("_note", "_cp")
+        .drop("_note", "_cp", "_np")
     )
 
 

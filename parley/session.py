@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_local_roots: dict[str, str] = {}
+
+
 def build_session(app: str = "parley", master: str | None = None, partitions: int | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
@@ -37,9 +40,10 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    root = tempfile.mkdtemp(prefix="parley-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="parley-")
+    return _local_roots[app]
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
