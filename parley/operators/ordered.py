@@ -35,14 +35,23 @@ class Fold:
     merge: Callable[[Column, Column], Column]
 
 
-def first(expr: Column | str) -> Fold:
-    c = F.col(expr) if isinstance(expr, str) else expr
-    return Fold(lambda o: F.min_by(c, o), lambda p, o: F.min_by(p, o))
+@dataclass(frozen=True)
+class Pick:
+    """A value of a run's first (or last) row.
 
+    All picks of one end travel in one struct, so they cost one aggregate.
+    """
+
+    expr: Column
+    at_end: bool
 
-def last(expr: Column | str) -> Fold:
-    c = F.col(expr) if isinstance(expr, str) else expr
-    return Fold(lambda o: F.max_by(c, o), lambda p, o: F.max_by(p, o))
+
+def first(expr: Column | str) -> Pick:
+    return Pick(F.col(expr) if isinstance(expr, str) else expr, False)
+
+
+def last(expr: Column | str) -> Pick:
+    return Pick(F.col(expr) if isinstance(expr, str) else expr, True)
 
 
 def total(expr: Column) -> Fold:
@@ -84,7 +93,7 @@ def islands(
     chunk: Column,
     carry: Sequence[str],
     breaks: Rule,
-    folds: dict[str, Fold],
+    folds: dict[str, Fold | Pick],
 ) -> DataFrame:
     """Fold runs of consecutive rows; a run ends where ``breaks`` holds.
 
@@ -97,23 +106,23 @@ def islands(
     keys = list(keys)
     part = [*keys, "_chunk"]
     here = Window.partitionBy(*part).orderBy(*order)
-    row = F.struct(*[F.col(c) for c in carry])
-    marked = (
-        df.withColumn("_chunk", chunk)
-        .withColumn("_row", row)
-        .withColumn("_prev", F.lag("_row").over(here))
-    )
+    heads = {n: f for n, f in folds.items() if isinstance(f, Pick) and not f.at_end}
+    tails = {n: f for n, f in folds.items() if isinstance(f, Pick) and f.at_end}
+    sums = {n: f for n, f in folds.items() if isinstance(f, Fold)}
+    carried = [F.col(c) for c in carry]
+    whole_row = lambda picks: F.struct(*carried, *[f.expr.alias(f"_{n}") for n, f in picks.items()])
+    marked = df.withColumn("_chunk", chunk).withColumn("_prev", F.lag(F.struct(*carried)).over(here))
     starts = F.col("_prev").isNull() | F.coalesce(
         breaks(lambda c: F.col("_prev")[c], lambda c: F.col(c)), F.lit(False)
     )
     marked = marked.withColumn("_new", F.when(starts, 1).otherwise(0)).withColumn(
         "_piece", F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0))
     )
-    at = F.struct(*[F.col(c) for c in order])
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     pieces = marked.groupBy(*part, "_piece").agg(
-        F.min_by("_row", at).alias("_head"),
-        F.max_by("_row", at).alias("_tail"),
-        *[f.partial(at).alias(name) for name, f in folds.items()],
+        F.min_by(whole_row(heads), at).alias("_head"),
+        F.max_by(whole_row(tails), at).alias("_tail"),
+        *[f.partial(at).alias(n) for n, f in sums.items()],
     )
     pieces = pieces.withColumn("_pieces", F.max("_piece").over(Window.partitionBy(*part)))
     edge = (F.col("_piece") == 1) | (F.col("_piece") == F.col("_pieces"))
@@ -136,9 +145,14 @@ def islands(
     )
     place = F.struct(F.col("_chunk"), F.col("_piece"))
     whole = runs.groupBy(*lane, "_run").agg(
-        *[f.merge(F.col(name), place).alias(name) for name, f in folds.items()]
+        F.min_by("_head", place).alias("_head"),
+        F.max_by("_tail", place).alias("_tail"),
+        *[f.merge(F.col(n), place).alias(n) for n, f in sums.items()],
+    )
+    value = lambda n: (
+        F.col("_head")[f"_{n}"] if n in heads else F.col("_tail")[f"_{n}"] if n in tails else F.col(n)
     )
-    return whole.select(*keys, *folds)
+    return whole.select(*keys, *[value(n).alias(n) for n in folds])
 
 
 def running_total(

@@ -188,13 +188,14 @@ def diarized_utterances(
 
 
 def label_utterances(labelled: DataFrame, gap: float = PAUSE_SECS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Utterances of labelled words; the recorder's words have a NULL label."""
     folded = islands(
         labelled.filter(F.col("text") != ""),
         ["recording_id", "channel"],
         ["seq"],
         row_chunk("seq", chunk_rows),
         ["start", "end", "label"],
-        lambda prev, cur: (cur("label") != prev("label")) | (cur("start") - prev("end") > gap),
+        lambda prev, cur: ~cur("label").eqNullSafe(prev("label")) | (cur("start") - prev("end") > gap),
         {
             "seq": first("seq"),
             "start": first("start"),
@@ -204,15 +205,17 @@ def label_utterances(labelled: DataFrame, gap: float = PAUSE_SECS, chunk_rows: i
             "n_words": rows(),
         },
     )
-    return folded.withColumn("speaker", speaker("other", F.col("label"))).drop("label")
+    return folded.withColumn("speaker", channel_speaker(F.col("channel"), F.col("label"))).drop("label")
 
 
 def call_segments(words: DataFrame, turns: DataFrame | None = None, gap: float = PAUSE_SECS) -> DataFrame:
     """Both sides of each call: recorder by pause, far end by pause or speaker."""
-    mine = utterances(words.filter(F.col("channel") == 0), gap)
-    far = words.filter(F.col("channel") != 0)
-    theirs = utterances(far, gap) if turns is None else diarized_utterances(far, turns, gap)
-    return mine.unionByName(theirs)
+    if turns is None:
+        return utterances(words, gap)
+    spoken = words.filter(F.col("text") != "")
+    mine = spoken.filter(F.col("channel") == 0).withColumn("label", F.lit(None).cast("string"))
+    theirs = attribute(spoken.filter(F.col("channel") != 0), turns)
+    return label_utterances(mine.unionByName(theirs), gap)
 
 
 def timeline(segments: DataFrame) -> DataFrame:
