@@ -48,10 +48,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._opened: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df, *_ROW_KEYS[name]) if name in _ROW_KEYS else df
+        if name not in self._opened:
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._opened[name] = spread(df, *_ROW_KEYS[name]) if name in _ROW_KEYS else df
+        return self._opened[name]
 
     @cached_property
     def words(self) -> DataFrame:

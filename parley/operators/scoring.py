@@ -9,17 +9,28 @@ from pyspark.sql.types import LongType
 
 from parley.functions import distance, text
 from parley.functions.flow import hold
-from parley.operators.ordered import in_order
+from parley.operators.ordered import in_order, row_chunk
 
 MAX_SPEAKERS = 20
+PART_SECS = 3600.0
+PART_TURNS = 10_000
 
 
 def transcript_text(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Text of each transcript in (start, end) order, list order breaking ties."""
-    at = F.struct(F.coalesce("start", F.lit(0.0)), F.coalesce("end", F.lit(0.0)), F.col("seq"))
-    return segments.groupBy(*keys).agg(
-        F.array_join(in_order(F.coalesce("text", F.lit("")), at), " ").alias("text")
-    )
+    """Text of each transcript in (start, end) order, list order breaking ties.
+
+    Hours are joined first, so that sorting a very long transcript is spread
+    and its last step only concatenates a few hour texts.
+    """
+    start = F.coalesce("start", F.lit(0.0))
+    at = F.struct(start, F.coalesce("end", F.lit(0.0)), F.col("seq"))
+    return _joined_parts(segments, keys, F.floor(start / PART_SECS), at)
+
+
+def _joined_parts(rows: DataFrame, keys: list[str], part: Column, at: Column) -> DataFrame:
+    body = in_order(F.coalesce("text", F.lit("")), at)
+    parts = rows.groupBy(*keys, part.alias("_part")).agg(F.array_join(body, " ").alias("text"))
+    return parts.groupBy(*keys).agg(F.array_join(in_order(F.col("text"), F.col("_part")), " ").alias("text"))
 
 
 def speaker_text(segments: DataFrame, keys: list[str], composed: bool = False) -> DataFrame:
@@ -32,9 +43,8 @@ def speaker_text(segments: DataFrame, keys: list[str], composed: bool = False) -
 
 def reference_speaker_text(turns: DataFrame, keys: list[str], composed: bool = False) -> DataFrame:
     """Normalized text per reference speaker in turn order."""
-    out = turns.groupBy(*keys, F.col("speaker").alias("speaker_key")).agg(
-        F.array_join(in_order(F.coalesce("text", F.lit("")), F.col("seq")), " ").alias("text")
-    )
+    named = turns.withColumn("speaker_key", F.col("speaker"))
+    out = _joined_parts(named, [*keys, "speaker_key"], row_chunk("seq", PART_TURNS), F.col("seq"))
     return out.withColumn("text", text.normalize(F.col("text"), composed))
 
 

@@ -1,6 +1,7 @@
 """Hand cases and models of the ordered transcript operators."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,17 @@ def test_windows_split_utterances(spark):
     w = words(spark, [(299.0, 299.9, "a"), (300.0, 300.5, "b")])
     got = sorted((r.window_no, r.text) for r in calls.windowed_segments(w, 300.0).collect())
     assert got == [(0, "a"), (1, "b")]
+
+
+def test_no_shuffle_is_by_key_alone(spark):
+    """A hot key is spread by its chunks; only edge pieces share a lane."""
+    df = spark.range(4000).select(F.lit("hot").alias("k"), "id", (F.col("id") % 7 == 0).alias("new")).repartition(3)
+    runs = ordered.islands(
+        df, ["k"], ["id"], ordered.row_chunk("id", 100), ["new"], lambda p, c: c("new"), {"n": ordered.rows()}
+    )
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    shuffles = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    by = [re.sub(r"#\d+L?", "", s).split(", ")[:-1] for s in shuffles]
+    assert by == [["k", "_lane"], ["k", "_chunk"]]
+    got = runs.collect()
+    assert len(got) == 572 and sum(r.n for r in got) == 4000
