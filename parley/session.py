@@ -34,13 +34,16 @@ def build_session(app: str = "parley", master: str | None = None, partitions: in
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the configured checkpoint folder.
 
-    A machine-local folder is used only where the session names none, which
-    is the case in local tests.
+    A folder of this machine stands in only where driver and executors are one
+    process, as in tests. A cluster without the setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    app = spark.sparkContext.applicationId
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.conf.get("spark.app.id", "local")
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="parley-")
     return _local_roots[app]
