@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import fingerprints, packing, sharding, token_counts
+from parley.llm import fingerprints, html_text, packing, sharding, token_counts
 from parley.llm.common import table
 from parley.llm.queries import query
 
@@ -42,3 +42,9 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_fingerprints")
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query("op8_main_text")
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
