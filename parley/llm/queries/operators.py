@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import fingerprints, html_text, packing, quality, sharding, token_counts
+from parley.llm import fingerprints, html_text, language, mixing, packing, quality, sharding, token_counts
 from parley.llm.common import table
 from parley.llm.queries import query
 
@@ -56,3 +56,22 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broken", ",").alias("broken")
     )
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return language.identify(docs).select("doc_id", "lang", "source", "language", "posterior", "text_language", F.col("accepted").alias("kept"))
+
+
+@query("page_languages")
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence = language.page_evidence(table(spark, sf_dir, "pages"))
+    found = language.identify(evidence, declared="declared", host="host", suffix="suffix")
+    return found.select("page_id", "url", "declared", "host", "suffix", "language", "posterior", "text_language", "accepted")
+
+
+@query("op6_mix_sources")
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "size", "block", "phase", "release", "deadline", "slot", "place")
