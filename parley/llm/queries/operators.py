@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import fingerprints, html_text, language, mixing, packing, quality, sharding, token_counts
+from parley.llm import fingerprints, html_text, language, mixing, ngram_join, packing, quality, sharding, token_counts
 from parley.llm.common import table
 from parley.llm.queries import query
 
@@ -75,3 +75,8 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", "size", "block", "phase", "release", "deadline", "slot", "place")
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
