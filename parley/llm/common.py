@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,3 +78,50 @@ def components(spark: SparkSession, links: DataFrame, name: str) -> DataFrame:
         seen = now
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+
+
+#: Bits of the filter of ``thinned``: two MB, whatever the input.
+FILTER_BITS = 1 << 24
+
+
+def thinned(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among the one column of ``ids``: all that are, and few others.
+
+    A Bloom filter of one hash and a fixed number of bits, sent to all tasks as
+    a table of at most FILTER_BITS / 64 rows. With very many ids it lets
+    everything through, which makes a later exchange longer and nothing else.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    name = ids.columns[0]
+    words = ids.select(bit(name).alias("b")).groupBy(F.expr("b div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("_bits"))
+    marked = df.withColumn("_bit", bit(column))
+    found = marked.join(F.broadcast(words), F.expr("_bit div 64") == F.col("_word"))
+    return found.filter("shiftrightunsigned(_bits, cast(_bit % 64 as int)) % 2 <> 0").select(*df.columns)
+
+
+def bucket_components(spark: SparkSession, rows: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Components of the verified links between ids that share a bucket: (id, root).
+
+    ``rows`` has ``bucket`` and ``id``; ``verify`` takes pairs (a, b), a < b,
+    and returns those that are links. Ids are first paired with the smallest of
+    each bucket. After a union-find, the pairs of a bucket that are still in
+    different components are all verified. So the components are those of all
+    links between ids that share a bucket, and a bucket of many alike ids costs
+    as many pairs as it has members.
+    """
+    bucket = W.partitionBy("bucket")
+    met = rows.withColumns({"hub": F.min("id").over(bucket), "most": F.max("id").over(bucket)}).filter("hub < most")
+    met = settle(spark, met.select("bucket", "id", "hub"), name)
+    first = met.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    first = settle(spark, first, name)
+    links = settle(spark, verify(first).select("a", "b"), name)
+    roots = components(spark, links, name)
+    members = met.select("bucket", "id").distinct().join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
+    mixed = mixed.filter("x <> y and n > 2").select("bucket")
+    apart = settle(spark, members.join(mixed, "bucket"), name)
+    x, y = apart.alias("x"), apart.alias("y")
+    crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
+    second = crossing.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = verify(settle(spark, second, name)).select("a", "b")
+    return components(spark, links.unionByName(more), name)

@@ -18,21 +18,18 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm.common import components
+from parley.llm.common import bucket_components, thinned
 from parley.session import settle
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 #: Distinct words remembered at once in a task.
 REMEMBERED_WORDS = 500_000
-#: Bits of the filter that keeps texts without a candidate pair from moving: 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -140,7 +137,7 @@ def shingle_sets(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFr
 
 
 def piece_rows(sets: DataFrame) -> DataFrame:
-    """Rows (piece, id) of all sketches: a hash of band, place and bits, and the set's digest.
+    """Rows (bucket, id) of all sketches: a hash of band, place and bits, and the set's digest.
 
     Equal sets give equal rows, of which a batch sends one.
     """
@@ -163,44 +160,24 @@ def piece_rows(sets: DataFrame) -> DataFrame:
                 # Smaller outputs than one array for all: a batch may hold very long texts.
                 keys, owners = np.concatenate(keys).view(np.int64), np.concatenate(owners)
                 for at in range(0, len(keys), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000]), pa.array(owners[at : at + 200_000])], names=["piece", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000]), pa.array(owners[at : at + 200_000])], names=["bucket", "id"])
 
-    return sets.filter("n > 0").select("d1", "band", "own", "next").mapInArrow(run, "piece long, id long")
+    return sets.filter("n > 0").select("d1", "band", "own", "next").mapInArrow(run, "bucket long, id long")
 
 
-def _filter_of(ids: DataFrame) -> Column:
-    """A test on ``doc_id``: true for all of ``ids`` and for few others.
-
-    A Bloom filter of one hash and a fixed number of bits. With very many ids
-    it lets everything through, which costs a longer exchange and nothing else.
-    """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
-    mask = np.zeros(FILTER_BITS // 32, np.int64)
-    found = words.toPandas()
-    mask[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-
-    @F.pandas_udf("boolean")
-    def seen(bits: pd.Series) -> pd.Series:
-        b = bits.fillna(0).to_numpy(np.int64)
-        return pd.Series((mask[b // 32] >> (b % 32)) & 1 == 1)
-
-    return seen(bit)
-
-
-def _verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
-    """Links among candidate pairs (a, b of set digests), as (a, b) of the classes' smallest document ids.
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
+    """Links among candidate pairs (a, b) of set digests.
 
     Texts of the classes' first documents move to their pairs; whether a text
     is the one meant shows by its digest.
     """
-    known = classes.select("d1", "n", "doc_id")
-    side = lambda s: known.select(F.col("d1").alias(s), F.col("n").alias(f"n_{s}"), F.col("doc_id").alias(f"doc_{s}"))
+    spark = docs.sparkSession
+    side = lambda s: classes.select(F.col("d1").alias(s), F.col("n").alias(f"n_{s}"), F.col("doc_id").alias(f"doc_{s}"))
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    sized = (100 * F.least(n_a, n_b) >= like.percent * F.greatest(n_a, n_b)) & (F.col("doc_a") != F.col("doc_b"))
+    sized = 100 * F.least(n_a, n_b) >= like.percent * F.greatest(n_a, n_b)
     named = settle(spark, pairs.join(side("a"), "a").join(side("b"), "b").filter(sized), "candidates")
-    wanted = named.select(F.col("doc_a").alias("doc_id")).unionByName(named.select(F.col("doc_b").alias("doc_id")))
-    texts = docs.filter(_filter_of(wanted)).select("doc_id", "text")
+    wanted = named.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id"))
+    texts = thinned(docs, "doc_id", wanted)
     left = named.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
     both = left.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
 
@@ -221,15 +198,15 @@ def _verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: D
 
         for batch in batches:
             out = []
-            for a, b, doc_a, doc_b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns)):
                 x, y = shingles(a, text_a), shingles(b, text_b)
                 if x is not None and y is not None:
                     same = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * same >= like.percent * (len(x) + len(y) - same):
-                        out.append((doc_a, doc_b))
+                        out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return settle(spark, both.select("a", "b", "doc_a", "doc_b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "links")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,45 +219,21 @@ def near_classes(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_i
     smallest; rows that share an id are told apart by their texts. Every row
     of the input has one in the result; an empty table gives an empty one.
 
-    Equal sets are one class from the start. Sets that share a piece are first
-    linked to the bucket's smallest only; after a union-find, the pairs of a
-    bucket that are still in different components are all verified, so no link
-    that could connect two components is missed, and a group of many near
-    copies costs as many pairs as it has members. A group of G near copies is
-    spread over as many buckets as a sketch has pieces, so that a bucket holds
-    a small share of all rows even if the group is a third of them; a bucket's
-    rows are two numbers and stream through a sort.
+    Equal sets are one class from the start. Sets that share a piece are a
+    bucket of candidates (see ``bucket_components``). A group of near copies is
+    spread over as many buckets as a sketch has pieces, so a bucket holds a
+    small share of all rows even if the group is a third of them; a bucket's
+    rows are two numbers and stream through a sort. Sets go by 64 bits of their
+    digest while candidates are searched; links are verified on the shingles.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = settle(spark, shingle_sets(docs, like, "doc_id", "text"), "shingle-sets")
     classes = settle(spark, sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id")), "classes")
-    bucket = W.partitionBy("piece")
-    met = (
-        piece_rows(sets)
-        .withColumns({"hub": F.min("id").over(bucket), "most": F.max("id").over(bucket)})
-        .filter("hub < most")
-        .select("piece", "id", "hub")
-    )
-    met = settle(spark, met, "buckets")
-    first = met.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(spark, docs, classes, first, like)
-    roots = components(spark, links, "roots")
-
-    # Members of one bucket that are not connected yet: at least one of every such
-    # pair belongs to a bucket of more than its hub's component.
-    group = F.coalesce(F.col("root"), F.col("doc_id"))
-    placed = classes.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(F.col("d1").alias("id"), group.alias("root"))
-    members = met.select("piece", "id").distinct().join(placed, "id")
-    mixed = members.groupBy("piece").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).filter("x <> y and members > 2").select("piece")
-    apart = settle(spark, members.join(mixed, "piece"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    crossing = x.join(y, (F.col("x.piece") == F.col("y.piece")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
-    second = crossing.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _verified(spark, docs, classes, second, like)
-    found = components(spark, links.unionByName(more), "components")
-
-    linked = classes.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("n", "d1", "d2", F.coalesce("root", "doc_id").alias("component_id"))
+    found = bucket_components(spark, piece_rows(sets), lambda pairs: _verified(docs, classes, pairs, like), "ngram-join")
+    grouped = classes.join(found.withColumnRenamed("id", "d1"), "d1", "left").withColumn("root", F.coalesce("root", "d1"))
+    least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = grouped.join(least, "root").select("n", "d1", "d2", "component_id")
     rows = sets.select("doc_id", "n", "d1", "d2")
     return rows.join(linked, ["n", "d1", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import fingerprints, html_text, language, mixing, ngram_join, packing, quality, sharding, token_counts
+from parley.llm import fingerprints, html_text, language, line_dedup, mixing, ngram_join, packing, quality, sharding, token_counts
 from parley.llm.common import table
 from parley.llm.queries import query
 
@@ -80,3 +80,8 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_ngram_join")
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
