@@ -1,17 +1,24 @@
 """Similarity join of word-shingle sets by parity sketches.
 
-A document's shingles are hashed; the hashes choose a piece of a sketch and a
+A document's shingles are hashed; the hash chooses a piece of a sketch and a
 bit in it, and the bit is flipped. A bit of a sketch is then the parity of the
 shingles that met there, and two sketches differ in no more bits than their
 sets differ in shingles. Sets similar enough differ in at most d shingles, with
 d known from their sizes, so a sketch of d + 1 pieces has at least one piece in
 common with that of any partner: sets are joined on whole pieces, size band by
 size band, and what meets is verified on the shingles themselves.
+
+A piece has 2^64 bits, one for each hash, and is held as the XOR of the hashes
+whose bits are set: equal bits, equal XOR. Pieces without a set bit would join
+sets that have nothing in common. A sketch therefore has a few pieces to spare,
+and only a set with more empty pieces than that joins on them: any other pair
+of linked sets also agrees in a piece that is not empty.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -86,20 +93,29 @@ def band(size: int, percent: int) -> int:
     return int(np.searchsorted(_bands(percent, 1 << max(10, size.bit_length())), size, side="right")) - 1
 
 
-def pieces_of_band(number: int, percent: int) -> int:
-    """One more than the shingles in which two linked sets can differ if neither is larger than the band."""
+def pieces_of_band(number: int, percent: int) -> tuple[int, int]:
+    """Pieces of a sketch in a band, and how many of them are to spare.
+
+    Without those it is one more than the shingles in which two linked sets can
+    differ if neither is larger than the band.
+    """
     most = 1
     for _ in range(number + 1):
         most = most * 100 // percent + 1
-    return 2 * (most - 1) * (100 - percent) // (100 + percent) + 1
+    differ = 2 * (most - 1) * (100 - percent) // (100 + percent)
+    # The fewest shingles a piece can expect, for the smallest set that comes into the
+    # band from the one below, give the share of pieces that may stay empty.
+    t = percent / 100
+    empty = differ * math.exp(-0.9 * t * t * (1 + t) / (2 * (1 - t))) if percent < 100 else 0.0
+    spare = (differ > 0) * (1 + int(1.3 * empty + 3 * math.sqrt(empty)))
+    return differ + 1 + spare, spare
 
 
 def sketch(shingles: np.ndarray, pieces: int) -> np.ndarray:
-    """Parity sketch of a set: ``pieces`` pieces of 64 bits. The hash's upper half chooses the piece."""
+    """Parity sketch of a set. The hash's upper half chooses the piece; 0 is an empty one."""
     piece = ((shingles >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
     starts = np.searchsorted(piece, np.arange(pieces, dtype=np.uint64))
-    bits = np.uint64(1) << (shingles & np.uint64(63))
-    out = np.bitwise_xor.reduceat(np.append(bits, np.uint64(0)), starts)
+    out = np.bitwise_xor.reduceat(np.append(shingles, np.uint64(0)), starts)
     out[np.append(starts[1:], len(shingles)) == starts] = 0
     return out
 
@@ -114,7 +130,7 @@ def shingle_sets(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFr
 
         def pieces(b: int) -> int:
             if b not in piece_counts:
-                piece_counts[b] = pieces_of_band(b, like.percent)
+                piece_counts[b] = pieces_of_band(b, like.percent)[0]
             return piece_counts[b]
 
         for batch in batches:
@@ -136,13 +152,14 @@ def shingle_sets(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFr
     return docs.mapInArrow(run, schema)
 
 
-def piece_rows(sets: DataFrame) -> DataFrame:
+def piece_rows(sets: DataFrame, like: Likeness) -> DataFrame:
     """Rows (bucket, id) of all sketches: a hash of band, place and bits, and the set's digest.
 
     Equal sets give equal rows, of which a batch sends one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare: dict[int, int] = {}
         for batch in batches:
             ids = batch.column(0).to_numpy()
             _, rows = np.unique(ids, return_index=True)
@@ -150,8 +167,14 @@ def piece_rows(sets: DataFrame) -> DataFrame:
             keys, owners = [], []
             for r in rows:
                 for b, sketch_ in ((bands[r], own[r].as_buffer()), (bands[r] + 1, above[r].as_buffer())):
+                    b = int(b)
+                    if b not in spare:
+                        spare[b] = pieces_of_band(b, like.percent)[1]
                     bits = np.frombuffer(sketch_, np.uint64)
                     place = np.arange(len(bits), dtype=np.uint64) + (np.uint64(b) << np.uint64(40))
+                    full = bits != 0
+                    if len(bits) - np.count_nonzero(full) <= spare[b]:
+                        bits, place = bits[full], place[full]
                     h = (bits ^ (place * np.uint64(ODD[0]))) * np.uint64(ODD[1])
                     h = (h ^ (h >> np.uint64(31))) * np.uint64(ODD[2])
                     keys.append(h ^ (h >> np.uint64(29)))
@@ -230,7 +253,7 @@ def near_classes(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_i
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = settle(spark, shingle_sets(docs, like, "doc_id", "text"), "shingle-sets")
     classes = settle(spark, sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id")), "classes")
-    found = bucket_components(spark, piece_rows(sets), lambda pairs: _verified(docs, classes, pairs, like), "ngram-join")
+    found = bucket_components(spark, piece_rows(sets, like), lambda pairs: _verified(docs, classes, pairs, like), "ngram-join")
     grouped = classes.join(found.withColumnRenamed("id", "d1"), "d1", "left").withColumn("root", F.coalesce("root", "d1"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = grouped.join(least, "root").select("n", "d1", "d2", "component_id")
