@@ -293,9 +293,9 @@ def fit(pages: DataFrame, key: str = "page_id", page: str = "html", max_pages: i
     Very long pages say no more than others and are passed over for training
     (they are extracted like all others).
     """
-    sample = (
-        pages.filter(F.length(page).between(1, 200_000)).select(F.xxhash64(key).alias("h"), page).orderBy("h", page).limit(max_pages).collect()
-    )
+    hashed = pages.filter(F.length(page).between(1, 200_000)).select(F.xxhash64(key).alias("h"), page)
+    chosen = [r["h"] for r in hashed.select("h").orderBy("h").limit(max_pages).collect()]
+    sample = hashed.filter(F.col("h").isin(chosen)).orderBy("h", page).limit(max_pages).collect()
     return train(labelled_pages([r[page] for r in sample]))
 
 
