@@ -125,7 +125,7 @@ def mix(
     rows = docs.select(
         *keep,
         text_bytes(text).alias("size"),
-        F.col(source).cast("string").alias("_source"),
+        F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("_source"),
         F.xxhash64(source, key, text).alias("_order"),
     )
     parts = max(1, -(-docs.count() // SUMMED_ROWS))
@@ -137,26 +137,22 @@ def mix(
     if not totals:
         return rows.select(*keep, "size", *[F.lit(None).cast("long").alias(c) for c in made[1:]])
     blocks = {s: -(-b // block_bytes) for s, b in totals.items()}
-    name = lambda s: "" if s is None else "=" + s
     if weights is None:
         wanted = {s: Fraction(float(b) ** temper).limit_denominator(10**6) for s, b in totals.items()}
     else:
-        wanted = {s: weights.get(s, min(weights.values())) for s in totals}
-    runs = phases({name(s): w for s, w in wanted.items()}, {name(s): n for s, n in blocks.items()}, period)
+        wanted = {s: weights.get(s[1:], min(weights.values())) for s in totals}
+    runs = phases(wanted, blocks, period)
     firsts = sorted({run[1] for each in runs.values() for run in each})
     planned = spark.createDataFrame(
-        [(s, [(*run, firsts.index(run[1])) for run in runs[name(s)]]) for s in totals],
+        [(s, [(*run, firsts.index(run[1])) for run in runs[s]]) for s in totals],
         "_source string, _runs array<struct<first:long,start:long,count:long,period:long,slots:array<int>,phase:int>>",
     )
     row = W.partitionBy("_source", "_part").orderBy("_order", key, F.xxhash64(*keep))
     before = F.coalesce(F.sum("size").over(row.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
-    summed = rows.withColumn("_before", before)
-    placed = summed.join(starts, same(summed, starts, "_source", "_part")).select(
-        *[summed[c] for c in summed.columns if c != "_part"], (F.col("_start") + F.col("_before")).alias("_at")
-    )
+    # Keys and partitions of the sum are those of the join, so rows move once for both.
+    placed = rows.withColumn("_before", before).join(starts, ["_source", "_part"]).withColumn("_at", F.col("_start") + F.col("_before"))
     blocked = placed.withColumn("block", F.floor(F.col("_at") / block_bytes))
-    found = blocked.join(planned, blocked["_source"].eqNullSafe(planned["_source"])).withColumn(
+    found = blocked.join(F.broadcast(planned), "_source").withColumn(
         "_run", F.element_at(F.filter("_runs", lambda r: r["first"] <= F.col("block")), -1)
     )
     run: Column = F.col("_run")
