@@ -82,11 +82,11 @@ def pooled_error_rates(spark, sf):
 
 @query("document_error_rates")
 def document_error_rates(spark, sf):
-    """Whole documents against damaged copies; too long for the SQL table."""
+    """Whole documents against damaged copies, with the kinds of edits; too long for the SQL table."""
     docs = Tables(spark, sf).raw("documents")
     pairs = docs.select("doc_id", F.col("text").alias("ref"), damaged(F.col("text"), F.col("doc_id") % 3).alias("hyp"))
-    return scoring.word_error_rates(pairs, details=False).select(
-        "doc_id", "ref_words", "hyp_words", "errors", "raw_errors", "wer_normalized", "wer_raw"
+    return scoring.word_error_rates(pairs).select(
+        "doc_id", "ref_words", "hyp_words", "substitutions", "deletions", "insertions", "errors", "raw_errors", "wer_normalized", "wer_raw"
     )
 
 
@@ -209,28 +209,46 @@ def coverage_classes(spark, sf):
 
 
 def _vectors(t: Tables):
-    e = t.raw("embeddings")
-    return e.select(F.lit("all").alias("recording_id"), "vec_id", "embedding", "label")
+    """Fifty voices a recording, each heard three times: whole, and twice with every fourth or fifth number missing."""
+    e = t.raw("embeddings").select(F.col("vec_id").alias("voice"), "embedding", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("c"))
+    hole = lambda i: (F.col("c") < 3) & ((i + F.col("voice")) % (F.col("c") + 3) == 0)
+    return e.select(
+        F.concat(F.lit("r"), F.floor(F.col("voice") / 50).cast("string")).alias("recording_id"),
+        (F.col("voice") * 3 + F.col("c")).alias("vec_id"),
+        F.transform("embedding", lambda x, i: F.when(hole(i), 0.0).otherwise(x.cast("double"))).alias("embedding"),
+    )
 
 
-@query("speaker_clusters_by_threshold")
+@query(
+    "speaker_clusters_by_threshold",
+    """WITH RECURSIVE v AS (
+      SELECT 'r' || vec_id // 50 AS recording_id, vec_id * 3 + c AS vec_id,
+             list_transform(embedding, lambda x, i: CASE WHEN c < 3 AND (i - 1 + vec_id) % (c + 3) = 0 THEN 0::DOUBLE ELSE x::DOUBLE END) AS e
+      FROM embeddings CROSS JOIN (SELECT unnest(range(1, 4)) AS c)),
+    links AS (SELECT a.recording_id, a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b USING (recording_id)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.5),
+    reach AS (SELECT recording_id, vec_id AS a, vec_id AS b FROM v
+      UNION SELECT r.recording_id, r.a, l.b FROM reach r JOIN links l ON l.recording_id = r.recording_id AND l.a = r.b),
+    g AS (SELECT recording_id, a AS vec_id, min(b) AS comp FROM reach GROUP BY ALL)
+    SELECT recording_id, vec_id, comp, 'Them ' || dense_rank() OVER (PARTITION BY recording_id ORDER BY comp) AS speaker FROM g""",
+)
 def speaker_clusters_by_threshold(spark, sf):
     v = _vectors(Tables(spark, sf))
-    return speakers.by_threshold(spark, v, threshold=0.5, dim=64)
+    return speakers.by_threshold(spark, v, threshold=0.5).select("recording_id", "vec_id", "comp", "speaker")
 
 
 @query("speaker_clusters_pinned")
 def speaker_clusters_pinned(spark, sf):
-    return speakers.pinned(_vectors(Tables(spark, sf)), 10)
+    return speakers.pinned(spark, _vectors(Tables(spark, sf)), 10)
 
 
 @query(
     "smoothed_turns",
     f"""WITH {d.TURNS},
-    m AS (SELECT *, CASE WHEN start - lag("end") OVER w < 30 THEN 0 ELSE 1 END AS brk FROM turns
-          WINDOW w AS (PARTITION BY recording_id, label ORDER BY start, seq)),
+    m AS (SELECT *, CASE WHEN start - max("end") OVER (PARTITION BY recording_id, label ORDER BY start, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 30
+          THEN 0 ELSE 1 END AS brk FROM turns),
     r AS (SELECT *, sum(brk) OVER (PARTITION BY recording_id, label ORDER BY start, seq) AS run FROM m),
-    g AS (SELECT recording_id, label, min(start) AS start, max_by("end", seq) AS "end" FROM r GROUP BY recording_id, label, run)
+    g AS (SELECT recording_id, label, min(start) AS start, max("end") AS "end" FROM r GROUP BY recording_id, label, run)
     SELECT * FROM g WHERE "end" - start >= 10""",
 )
 def smoothed_turns(spark, sf):

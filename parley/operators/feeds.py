@@ -14,8 +14,6 @@ BYTE_LIMIT = 1024 * 1024
 LINE_OVERHEAD = 64
 SPEAKER_BYTES = 64
 LOG_BYTES = 10 * 1024 * 1024
-# A fixed-width time stamp and the shortest level name.
-MIN_ENTRY_BYTES = 28
 SNAPSHOT_LIMIT = 300
 STAGE_LIMIT = 512
 
@@ -87,33 +85,27 @@ def log_cost() -> Column:
     parts = ["timestamp", "level", "target", "message"]
     cost = F.lit(0)
     for p in parts:
-        cost = cost + F.octet_length(p)
+        cost = cost + F.coalesce(F.octet_length(p), F.lit(0))
     return cost.cast("long")
 
 
-def recent_logs(
-    logs: DataFrame, span: int, max_bytes: int = LOG_BYTES, min_entry_bytes: int = MIN_ENTRY_BYTES
-) -> DataFrame:
+def recent_logs(logs: DataFrame, span: int, max_bytes: int = LOG_BYTES) -> DataFrame:
     """Newest log entries within a byte budget.
 
     logs need ``at`` (a numeric clock) and ``ord``. Blocks of ``span`` clock
     units are totalled first; blocks wholly past the budget never reach the
-    per-entry sum. Inside a block only so many entries are ranked as could fit
-    at the least size an entry has; Spark applies that rank before the shuffle.
+    per-entry sum, so at most one block more than the budget is read.
+    ``span`` should be short enough for a block to fit a task. A NULL field
+    has no bytes; entries without a clock come last.
     """
-    keyed = logs.withColumn("_all", F.lit(1)).withColumn("_blk", -F.floor(F.col("at") / span))
+    at = F.coalesce(F.col("at"), F.lit(-(2**62)))
+    keyed = logs.withColumn("_all", F.lit(1)).withColumn("_blk", -F.floor(at / span))
     blocks = keyed.groupBy("_blk").agg(F.sum(log_cost()).alias("_b"))
     before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     live = blocks.select("_blk", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_used")).filter(
         F.col("_used") < max_bytes
     )
-    newest_first = Window.partitionBy("_blk").orderBy(F.col("at").desc(), F.col("ord").desc())
-    near = (
-        keyed.join(live.select("_blk"), "_blk", "left_semi")
-        .withColumn("_rn", F.row_number().over(newest_first))
-        .filter(F.col("_rn") <= max_bytes // min_entry_bytes + 1)
-        .drop("_rn")
-    )
+    near = keyed.join(live.select("_blk"), "_blk", "left_semi")
     summed = running_total(
         near, ["_all"], [F.col("at").desc(), F.col("ord").desc()], F.col("_blk"), log_cost(), "_sum"
     )

@@ -189,6 +189,30 @@ def running_total(
     )
 
 
+def running_peak(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], chunk: Column, value: Column, name: str
+) -> DataFrame:
+    """Greatest ``value`` of the rows before each row along ``order``; NULL on the first.
+
+    ``chunk`` must grow with ``order``; the per-key window sees one row per chunk.
+    """
+    keys = list(keys)
+    cut = df.withColumn("_chunk", chunk).withColumn("_v", value)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    base = (
+        cut.groupBy(*keys, "_chunk")
+        .agg(F.max("_v").alias("_top"))
+        .withColumn("_base", F.max("_top").over(before(Window.partitionBy(*keys).orderBy("_chunk"))))
+        .drop("_top")
+    )
+    here = before(Window.partitionBy(*keys, "_chunk").orderBy(*order))
+    return (
+        cut.join(base, [*keys, "_chunk"])
+        .withColumn(name, F.greatest(F.max("_v").over(here), F.col("_base")))
+        .drop("_chunk", "_v", "_base")
+    )
+
+
 def latest(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
     """One row per key: the one with the greatest ``by``. Combines map-side."""
     keys = list(keys)

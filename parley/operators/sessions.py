@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators.ordered import first, islands, last, smallest, time_chunk
+from parley.operators.ordered import first, islands, largest, last, running_peak, smallest, time_chunk
 
 
 def on_intervals(signal: DataFrame, span: float) -> DataFrame:
@@ -100,15 +100,20 @@ def held_signal(holders: DataFrame, own_pid: int) -> DataFrame:
 
 
 def smooth_turns(turns: DataFrame, min_on: float, min_off: float, span: float) -> DataFrame:
-    """Bridge short gaps inside one speaker, then drop turns that stay short."""
+    """Bridge short gaps inside one speaker, then drop turns that stay short.
+
+    A gap counts from the furthest end so far: a short turn inside a longer
+    one neither opens a gap nor shortens it.
+    """
+    keys, order, chunk = ["recording_id", "label"], ["start", "seq"], time_chunk("start", span)
     merged = islands(
-        turns,
-        ["recording_id", "label"],
-        ["start", "seq"],
-        time_chunk("start", span),
-        ["start", "end"],
-        lambda prev, cur: cur("start") - prev("end") >= min_off,
-        {"start": first("start"), "end": last("end"), "seq": first("seq")},
+        running_peak(turns, keys, order, chunk, F.col("end"), "_reach"),
+        keys,
+        order,
+        chunk,
+        ["start", "_reach"],
+        lambda prev, cur: cur("start") - cur("_reach") >= min_off,
+        {"start": first("start"), "end": largest(F.col("end")), "seq": first("seq")},
     )
     return merged.filter(F.col("end") - F.col("start") >= min_on)
 

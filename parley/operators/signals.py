@@ -23,7 +23,6 @@ NEAR_GATE = 0.05
 ENERGY_FLOOR = 1e-12
 FAR_FLOOR = 1e-10
 SEGMENT_GATE = 0.05
-MAX_SEGMENTS = 64
 MIN_SPEECH_SECS = 0.25
 MAX_SPEECH_SECS = 20.0
 
@@ -247,20 +246,16 @@ def echo_scores(frames: DataFrame, frame_len: int, window: int) -> DataFrame:
 
 
 def lag_segments(segments: DataFrame) -> DataFrame:
-    """Evenly spread, loud enough segments of each recording.
+    """The loud enough segments of each recording.
 
-    segments: recording_id, seg_no, n_segments, mic, far. At most 64 per
-    recording stay, and of those the ones whose far energy reaches 5 % of the
-    loudest.
+    segments: recording_id, seg_no, mic, far. Segments stay whose far energy
+    reaches 5 % of the loudest. All are looked at: a segment is a row, and
+    correlations are summed before they move.
     """
-    used = F.least(F.col("n_segments"), F.lit(MAX_SEGMENTS))
-    stride = F.floor(F.col("n_segments") / used)
-    spread = segments.filter((F.col("seg_no") % stride == 0) & (F.col("seg_no") / stride < used)).withColumn(
-        "_e", maths.energy(F.col("far"))
-    )
-    top = spread.groupBy("recording_id").agg(F.max("_e").alias("_top"))
+    measured = segments.withColumn("_e", maths.energy(F.col("far")))
+    top = measured.groupBy("recording_id").agg(F.max("_e").alias("_top"))
     return (
-        spread.join(top, "recording_id")
+        measured.join(top, "recording_id")
         .filter((F.col("_top") > 0) & (F.col("_e") >= SEGMENT_GATE * F.col("_top")))
         .drop("_e", "_top")
     )

@@ -6,61 +6,63 @@ vectors: recording_id, vec_id, embedding array<float>, and optionally start.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import maths
-from parley.operators.ordered import row_chunk, running_total
+from parley.operators.ordered import in_order, row_chunk, running_total
 from parley.session import settle
 
+#: Vectors of a recording that meet those of another block in one task.
+BLOCK = 1024
+
 
 def unit(embedding: Column) -> Column:
     norm = F.sqrt(maths.energy(embedding))
     return F.transform(embedding, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
 
-def _planes(dim: int, bits: int, table: int) -> list[list[float]]:
-    rng = np.random.default_rng(1000 + table)
-    return rng.standard_normal((bits, dim)).round(6).tolist()
-
-
-def _signature(vec: Column, dim: int, bits: int, table: int) -> Column:
-    """Side of ``bits`` random planes as one integer: alike vectors collide."""
-    out = F.lit(0).cast("long")
-    for i, plane in enumerate(_planes(dim, bits, table)):
-        side = maths.dot(vec, F.array(*[F.lit(p) for p in plane]))
-        out = out + F.when(side >= 0, F.lit(1 << i)).otherwise(0)
-    return out
-
-
-def star_links(vectors: DataFrame, threshold: float, dim: int, bits: int, tables: int) -> DataFrame:
-    """Links between alike vectors, at most ``tables`` per vector.
+def links(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links that join all vectors of a recording whose cosine reaches the threshold.
 
-    In every table each bucket elects one hub, and the others link to it when
-    their cosine reaches the threshold. The hub is found by a map-side
-    combining aggregate and no two members are ever paired with each other, so
-    a bucket that holds most of the data costs one row per member.
+    Exact: a recording is cut into blocks of about ``block`` vectors and every
+    two blocks meet in one task, as a product of two matrices. A task answers
+    with a forest over its vectors (each to the smallest it is joined with),
+    so the answer has at most one row per vector and task, however alike the
+    vectors are. Work grows with the square of a recording's length, spread
+    over all its pairs of blocks; different recordings never meet.
     """
-    v = vectors.select("recording_id", "vec_id", unit(F.col("embedding")).alias("u"))
-    sigs = F.array(*[_signature(F.col("u"), dim, bits, t) for t in range(tables)])
-    placed = v.select("recording_id", "vec_id", "u", F.posexplode(sigs).alias("tbl", "sig"))
-    hubs = placed.groupBy("recording_id", "tbl", "sig").agg(
-        F.min_by(F.struct("vec_id", "u"), "vec_id").alias("hub")
-    )
-    joined = placed.join(hubs, ["recording_id", "tbl", "sig"])
-    return (
-        joined.filter(
-            (F.col("vec_id") != F.col("hub.vec_id"))
-            & (maths.dot(F.col("u"), F.col("hub.u")) >= threshold)
-        )
-        .select("recording_id", F.col("hub.vec_id").alias("a"), F.col("vec_id").alias("b"))
-        .distinct()
+    v = vectors.select("recording_id", "vec_id", unit(F.col("embedding")).alias("u")).filter("u is not null")
+    blocks = v.groupBy("recording_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    own = F.pmod(F.xxhash64("vec_id"), F.col("_blocks"))
+    placed = v.join(blocks, "recording_id").withColumn("_own", own)
+    sent = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).select(
+        "recording_id", "vec_id", "u", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j")
     )
 
-
-def components(spark: SparkSession, nodes: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFrame:
+    def forest(part: pd.DataFrame) -> pd.DataFrame:
+        ids, u = part["vec_id"].to_numpy(), np.stack(part["u"].to_numpy())
+        rows, cols = (np.flatnonzero(part["_own"] == part[side].iloc[0]) for side in ("_i", "_j"))
+        alike = u[rows] @ u[cols].T >= threshold
+        low, far = ids.copy(), np.iinfo(np.int64).max
+        if len(rows) and len(cols):
+            while True:
+                was = low.copy()
+                low[rows] = np.minimum(low[rows], np.where(alike, low[cols], far).min(axis=1))
+                low[cols] = np.minimum(low[cols], np.where(alike, low[rows][:, None], far).min(axis=0))
+                if (low == was).all():
+                    break
+        told = low != ids
+        return pd.DataFrame({"recording_id": part["recording_id"].iloc[0], "a": low[told], "b": ids[told]})
+
+    kind = v.schema["recording_id"].dataType.simpleString()
+    return sent.groupBy("recording_id", "_i", "_j").applyInPandas(forest, f"recording_id {kind}, a long, b long").distinct()
+
+
+def components(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest vec_id of each connected component.
 
     Every round takes the smallest label among neighbours, then jumps to the
@@ -73,7 +75,7 @@ def components(spark: SparkSession, nodes: DataFrame, links: DataFrame, max_roun
     )
     both = settle(spark, both, "links")
     state = settle(spark, nodes.select("recording_id", "vec_id", F.col("vec_id").alias("comp")), "comp")
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(
                 state.select("recording_id", F.col("vec_id").alias("b"), F.col("comp").alias("_c")),
@@ -92,10 +94,7 @@ def components(spark: SparkSession, nodes: DataFrame, links: DataFrame, max_roun
         nxt = settle(spark, nxt, "comp")
         state = nxt.drop("_old")
         if nxt.filter(F.col("comp") != F.col("_old")).limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return state
+            return state
 
 
 def number_speakers(assigned: DataFrame, order: str = "vec_id") -> DataFrame:
@@ -106,18 +105,57 @@ def number_speakers(assigned: DataFrame, order: str = "vec_id") -> DataFrame:
     return assigned.join(named.select("recording_id", "comp", "speaker"), ["recording_id", "comp"])
 
 
-def by_threshold(
-    spark: SparkSession, vectors: DataFrame, threshold: float, dim: int, bits: int = 6, tables: int = 4
-) -> DataFrame:
+def by_threshold(spark: SparkSession, vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """Unknown speaker count: linked vectors share a speaker."""
-    links = star_links(vectors, threshold, dim, bits, tables)
-    comps = components(spark, vectors, links)
+    comps = components(spark, vectors, links(vectors, threshold, block))
     return number_speakers(comps)
 
 
-def pinned(vectors: DataFrame, k: int, seed: int = 7) -> DataFrame:
-    """Known speaker count over one table of vectors, by distributed k-means."""
-    data = vectors.withColumn("features", array_to_vector(unit(F.col("embedding"))))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="comp", distanceMeasure="cosine").fit(data)
-    out = model.transform(data).select("recording_id", "vec_id", F.col("comp").cast("long").alias("comp"))
-    return number_speakers(out)
+def _seeds(vectors: DataFrame, k: int, pool: int) -> DataFrame:
+    """``k`` first centres of each recording, far from each other, out of ``pool`` vectors chosen by hash."""
+    by_hash = Window.partitionBy("recording_id").orderBy(F.xxhash64("vec_id"), "vec_id")
+    some = vectors.withColumn("_rn", F.row_number().over(by_hash)).filter(F.col("_rn") <= pool).drop("_rn")
+
+    def spread(part: pd.DataFrame) -> pd.DataFrame:
+        u = np.stack(part.sort_values("vec_id")["u"].to_numpy())
+        chosen, near = [0], u @ u[0]
+        while len(chosen) < min(k, len(u)):
+            chosen.append(int(near.argmin()))
+            near = np.maximum(near, u @ u[chosen[-1]])
+        return pd.DataFrame({"recording_id": part["recording_id"].iloc[:1].tolist(), "centres": [u[chosen].tolist()]})
+
+    kind = vectors.schema["recording_id"].dataType.simpleString()
+    return some.groupBy("recording_id").applyInPandas(spread, f"recording_id {kind}, centres array<array<double>>")
+
+
+def _nearest() -> Column:
+    """Place of the centre with the greatest cosine, the first of equal ones."""
+    scored = F.transform("centres", lambda c, i: F.struct(maths.dot(F.col("u"), c).alias("s"), (-i).alias("i")))
+    return (-F.array_max(scored)["i"]).cast("long")
+
+
+def pinned(spark: SparkSession, vectors: DataFrame, k: int, rounds: int = 20) -> DataFrame:
+    """Known speaker count: k-means by cosine inside each recording.
+
+    Centres start as vectors far from each other, out of at most ``32 * k`` of
+    a recording. Every round assigns all vectors and sums them per (recording,
+    centre) before anything moves, and writes the centres out; it ends when
+    no centre moves, or after ``rounds``. A recording with fewer vectors than
+    ``k`` has as many speakers as vectors.
+    """
+    v = vectors.select("recording_id", "vec_id", unit(F.col("embedding")).alias("u")).filter("u is not null")
+    v = settle(spark, v, "vectors")
+    centres = settle(spark, _seeds(v, k, 32 * k), "centres")
+    for _ in range(rounds):
+        member = v.join(centres, "recording_id").select("recording_id", _nearest().alias("comp"), array_to_vector("u").alias("x"))
+        mean = member.groupBy("recording_id", "comp").agg(unit(vector_to_array(Summarizer.mean(F.col("x")))).alias("c"))
+        moved = mean.groupBy("recording_id").agg(in_order(F.col("c"), F.col("comp")).alias("centres"))
+        moved = settle(spark, moved, "centres")
+        steps = F.zip_with(F.flatten("centres"), F.flatten("_was"), lambda a, b: F.abs(a - b))
+        shift = F.coalesce(F.array_max(steps), F.lit(0.0))
+        both = moved.join(centres.withColumnRenamed("centres", "_was"), "recording_id")
+        still = both.filter((F.size("centres") != F.size("_was")) | (shift > 1e-9)).limit(1).count() == 0
+        centres = moved
+        if still:
+            break
+    return number_speakers(v.join(centres, "recording_id").select("recording_id", "vec_id", _nearest().alias("comp")))

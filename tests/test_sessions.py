@@ -95,3 +95,22 @@ def test_owner_tiers(spark):
     ]
     df = spark.createDataFrame(rows, "snapshot_id long, ord long, bundle_id string, pid int")
     assert {r.snapshot_id: r.pid for r in sessions.best_owner(df).collect()} == {1: 7, 2: 6, 3: 5}
+
+
+def test_short_turn_inside_a_long_one_opens_no_gap(spark):
+    from parley.operators.sessions import smooth_turns
+
+    rows = [("r", "A", 0, 0.0, 100.0), ("r", "A", 1, 10.0, 20.0), ("r", "A", 2, 60.0, 70.0), ("r", "A", 3, 140.0, 155.0)]
+    df = spark.createDataFrame(rows, "recording_id string, label string, seq long, start double, end double")
+    for span in (15.0, 1200.0):
+        got = sorted((r.start, r.end) for r in smooth_turns(df, 10.0, 30.0, span).collect())
+        assert got == [(0.0, 100.0), (140.0, 155.0)]
+
+
+def test_short_log_entries_fill_the_budget(spark):
+    from parley.operators.feeds import recent_logs
+
+    rows = [(i, i, "t", "l", "x", "m") for i in range(200)] + [(200, 200, "t", None, "x", "mm")]
+    df = spark.createDataFrame(rows, "at long, ord long, timestamp string, level string, target string, message string")
+    for span in (7, 1000):
+        assert {r.ord for r in recent_logs(df, span, 280).collect()} == set(range(131, 201))

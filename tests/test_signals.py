@@ -76,13 +76,13 @@ def test_lag_is_found(spark):
     assert {r.recording_id: r.lag for r in signals.estimate_lag(df, 100).collect()} == {"r": 37, "silent": 0}
 
 
-def test_segment_choice_is_spread(spark):
+def test_every_loud_segment_counts(spark):
     df = spark.range(200).select(
         F.lit("r").alias("recording_id"), F.col("id").alias("seg_no"), F.lit(200).cast("long").alias("n_segments"),
         F.array(F.lit(1.0)).alias("mic"), F.array(F.lit(1.0)).alias("far"),
     )
     got = sorted(r.seg_no for r in signals.lag_segments(df).collect())
-    assert got == list(range(0, 192, 3))
+    assert got == list(range(200))
 
 
 @pytest.mark.parametrize("bits", [8, 16, 24, 32])
@@ -118,8 +118,38 @@ def test_clusters_find_separate_voices(spark):
     centres = rng.standard_normal((3, 16))
     rows = [("r", i, (centres[i % 3] + 0.02 * rng.standard_normal(16)).tolist()) for i in range(60)]
     df = spark.createDataFrame(rows, "recording_id string, vec_id long, embedding array<double>")
-    for got in (speakers.by_threshold(spark, df, 0.9, 16), speakers.pinned(df, 3)):
+    for got in (speakers.by_threshold(spark, df, 0.9), speakers.by_threshold(spark, df, 0.9, block=7), speakers.pinned(spark, df, 3)):
         by = {}
         for r in got.collect():
             by.setdefault(r.speaker, set()).add(r.vec_id % 3)
         assert by == {"Them 1": {0}, "Them 2": {1}, "Them 3": {2}}
+
+
+def test_links_are_exact_across_blocks(spark):
+    """Chains of alike vectors hold together whatever blocks they fall into, and recordings stay apart."""
+    rng = np.random.default_rng(5)
+    vecs = rng.standard_normal((120, 6))
+    rows = [(f"r{i % 2}", i, v.tolist()) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "recording_id string, vec_id long, embedding array<double>")
+    u = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    low = list(range(120))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(120):
+            for j in range(i % 2, 120, 2):
+                if u[i] @ u[j] >= 0.8 and low[j] < low[i]:
+                    low[i], changed = low[j], True
+    for block in (5, 1000):
+        got = {r.vec_id: r.comp for r in speakers.by_threshold(spark, df, 0.8, block).collect()}
+        assert got == dict(enumerate(low))
+    assert 2 < len(set(low)) < 118
+
+
+def test_pinned_count_is_per_recording(spark):
+    rows = [(f"r{i % 2}", i, [float(i % 3 == 0), float(i % 3 == 1), 0.1]) for i in range(12)] + [("one", 99, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "recording_id string, vec_id long, embedding array<double>")
+    per = {}
+    for r in speakers.pinned(spark, df, 3).collect():
+        per.setdefault(r.recording_id, set()).add(r.speaker)
+    assert {k: len(v) for k, v in per.items()} == {"r0": 3, "r1": 3, "one": 1}
