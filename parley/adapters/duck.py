@@ -4,19 +4,12 @@ from __future__ import annotations
 
 from parley.adapters.tables import BUNDLES, NOW
 from parley.functions.text import FOLD_FROM, FOLD_TO, KNOWN_APPS
-from parley.operators.consent import jurisdiction_rows
 
 
 def text(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
 
-def literal(value) -> str:
-    if value is None or isinstance(value, str):
-        return text(value)
-    return str(value).upper() if isinstance(value, bool) else str(value)
-
-
 def pick(values: list[str], index: str) -> str:
     return "([" + ", ".join(text(v) for v in values) + f"])[({index}) + 1]"
 
@@ -212,21 +205,83 @@ stages AS (
          CAST(round(value * 1000) AS BIGINT) AS duration_ms FROM events)"""
 
 RESULTS = """
-first_events AS (
-  SELECT user_id, event_type, min(event_id) AS k, min_by(value, event_id) AS value FROM events GROUP BY ALL),
+nth_events AS (
+  SELECT user_id, event_type, event_id AS k, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events),
 results AS (
-  SELECT CASE WHEN user_id = 0 THEN 'baseline' ELSE 'run' || user_id END AS run, event_type AS fixture,
+  SELECT CASE WHEN user_id = 0 AND n = 1 THEN 'baseline' ELSE 'run' || user_id || '.' || n END AS run, event_type AS fixture,
          CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS fixture_ord,
          CASE WHEN k % 11 <> 0 THEN TRUE END AS ok, round(value * 100) / 10000.0::DOUBLE AS wer_norm,
          round(value * 200) / 10000.0::DOUBLE AS wer_raw, (900 + k % 400)::DOUBLE AS peak_rss_mb,
          (5000 + (k * 13) % 20000)::DOUBLE AS asr_ms, '{"threads":' || (user_id % 8) || '}' AS flags, k
-  FROM first_events)"""
-
-JURISDICTIONS = (
-    "\njurisdictions(id, ord, region, scope, consent, phone_rule, in_person_rule, source_disagreement, name) AS (VALUES "
-    + ", ".join("(" + ", ".join(literal(v) for v in (*r, r[0].upper())) + ")" for r in jurisdiction_rows())
-    + ")"
-)
+  FROM nth_events)"""
+
+# Fixed values, written out once more so that they are compared and not shared.
+JURISDICTIONS = """
+jurisdictions(id, ord, name, region, scope, consent, phone_rule, in_person_rule, source_disagreement) AS (VALUES
+  ('us-federal', 0, 'Federal (ECPA / Wiretap Act)', 'United States', 'federal', 'one-party', NULL, NULL, NULL),
+  ('us-al', 1, 'Alabama', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-ak', 2, 'Alaska', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-az', 3, 'Arizona', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-ar', 4, 'Arkansas', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-ca', 5, 'California', 'United States', 'state', 'all-party', NULL, NULL, NULL),
+  ('us-co', 6, 'Colorado', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-ct', 7, 'Connecticut', 'United States', 'state', 'mixed', 'all-party', 'one-party', TRUE),
+  ('us-de', 8, 'Delaware', 'United States', 'state', 'all-party', NULL, NULL, TRUE),
+  ('us-fl', 9, 'Florida', 'United States', 'state', 'all-party', NULL, NULL, NULL),
+  ('us-ga', 10, 'Georgia', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-hi', 11, 'Hawaii', 'United States', 'state', 'mixed', 'one-party', 'one-party', TRUE),
+  ('us-id', 12, 'Idaho', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-il', 13, 'Illinois', 'United States', 'state', 'all-party', NULL, NULL, NULL),
+  ('us-in', 14, 'Indiana', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-ia', 15, 'Iowa', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-ks', 16, 'Kansas', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-ky', 17, 'Kentucky', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-la', 18, 'Louisiana', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-me', 19, 'Maine', 'United States', 'state', 'mixed', 'one-party', 'all-party', NULL),
+  ('us-md', 20, 'Maryland', 'United States', 'state', 'all-party', NULL, NULL, NULL),
+  ('us-ma', 21, 'Massachusetts', 'United States', 'state', 'all-party', NULL, NULL, NULL),
+  ('us-mi', 22, 'Michigan', 'United States', 'state', 'mixed', NULL, NULL, TRUE),
+  ('us-mn', 23, 'Minnesota', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-ms', 24, 'Mississippi', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-mo', 25, 'Missouri', 'United States', 'state', 'mixed', 'one-party', 'all-party', NULL),
+  ('us-mt', 26, 'Montana', 'United States', 'state', 'all-party', NULL, NULL, NULL),
+  ('us-ne', 27, 'Nebraska', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-nv', 28, 'Nevada', 'United States', 'state', 'mixed', 'all-party', 'one-party', TRUE),
+  ('us-nh', 29, 'New Hampshire', 'United States', 'state', 'all-party', NULL, NULL, NULL),
+  ('us-nj', 30, 'New Jersey', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-nm', 31, 'New Mexico', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-ny', 32, 'New York', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-nc', 33, 'North Carolina', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-nd', 34, 'North Dakota', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-oh', 35, 'Ohio', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-ok', 36, 'Oklahoma', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-or', 37, 'Oregon', 'United States', 'state', 'mixed', 'one-party', 'all-party', NULL),
+  ('us-pa', 38, 'Pennsylvania', 'United States', 'state', 'all-party', NULL, NULL, NULL),
+  ('us-ri', 39, 'Rhode Island', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-sc', 40, 'South Carolina', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-sd', 41, 'South Dakota', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-tn', 42, 'Tennessee', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-tx', 43, 'Texas', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-ut', 44, 'Utah', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-vt', 45, 'Vermont', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-va', 46, 'Virginia', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-wa', 47, 'Washington', 'United States', 'state', 'all-party', NULL, NULL, NULL),
+  ('us-wv', 48, 'West Virginia', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-wi', 49, 'Wisconsin', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-wy', 50, 'Wyoming', 'United States', 'state', 'one-party', NULL, NULL, NULL),
+  ('us-dc', 51, 'District of Columbia', 'United States', 'district', 'one-party', NULL, NULL, NULL),
+  ('fr', 52, 'France', 'Europe', 'country', 'all-party', NULL, NULL, NULL),
+  ('de', 53, 'Germany', 'Europe', 'country', 'all-party', NULL, NULL, NULL),
+  ('gb', 54, 'United Kingdom', 'Europe', 'country', 'one-party', NULL, NULL, NULL),
+  ('eu', 55, 'European Union / EEA (GDPR baseline)', 'Europe', 'country', 'all-party', NULL, NULL, NULL),
+  ('es', 56, 'Spain', 'Europe', 'country', 'one-party', NULL, NULL, NULL),
+  ('ca', 57, 'Canada', 'North America', 'country', 'one-party', NULL, NULL, NULL),
+  ('au', 58, 'Australia', 'Asia-Pacific', 'country', 'mixed', NULL, NULL, TRUE),
+  ('jp', 59, 'Japan', 'Asia-Pacific', 'country', 'one-party', NULL, NULL, NULL),
+  ('in', 60, 'India', 'Asia-Pacific', 'country', 'one-party', NULL, NULL, NULL),
+  ('sg', 61, 'Singapore', 'Asia-Pacific', 'country', 'one-party', NULL, NULL, NULL),
+  ('br', 62, 'Brazil', 'Latin America', 'country', 'one-party', NULL, NULL, NULL),
+  ('mx', 63, 'Mexico', 'Latin America', 'country', 'one-party', NULL, NULL, NULL))"""
 
 PARTIES = f"""{JURISDICTIONS},
 seats AS (

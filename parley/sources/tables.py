@@ -76,7 +76,5 @@ def _struct_fields(schema: str) -> str:
 
 
 def jurisdictions(spark: SparkSession) -> DataFrame:
-    """The built-in dimension; places are named by their upper-case id."""
-    return spark.createDataFrame(consent.jurisdiction_rows(), consent.JURISDICTION_SCHEMA).withColumn(
-        "name", F.upper("id")
-    )
+    """The built-in dimension."""
+    return spark.createDataFrame(consent.jurisdiction_rows(), consent.JURISDICTION_SCHEMA)

@@ -28,7 +28,7 @@ def test_verdicts(spark):
     got = {r.call_id: r for r in consent.verdicts(df, jurisdictions(spark)).collect()}
     for i, (_, _, verdict, verify) in enumerate(CASES):
         assert (got[i].verdict, got[i].verify_locally) == (verdict, verify), CASES[i]
-    assert got[3].governing_law == ["US-NY — where the recording is made", "CA — a recorded party's location"]
+    assert got[3].governing_law == ["New York — where the recording is made", "Canada — a recorded party's location"]
     assert len(got[4].caveats) == 2 and len(got[3].caveats) == 1
 
 
