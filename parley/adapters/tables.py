@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import clock
+from parley.operators.ordered import row_chunk, running_total
 from parley.session import spread
 from parley.sources.tables import jurisdictions
 
@@ -268,13 +269,12 @@ class Tables:
 
     @cached_property
     def results(self) -> DataFrame:
-        """Sweep rows: run per user, fixture per event type, first event of each."""
-        e = self.raw("events")
-        u = F.col("user_id")
-        run = F.when(u == 0, "baseline").otherwise(F.concat(F.lit("run"), u.cast("string")))
-        one = e.groupBy("user_id", "event_type").agg(F.min_by(F.struct("event_id", "value"), "event_id").alias("x"))
-        k = F.col("x.event_id")
-        return one.select(
+        """Sweep rows, one per event: the n-th event of each type is a user's n-th run of that fixture."""
+        e = self.raw("events").select("user_id", "event_type", "event_id", "value")
+        u, k = F.col("user_id"), F.col("event_id")
+        nth = running_total(e, ["user_id", "event_type"], ["event_id"], row_chunk("event_id"), F.lit(1), "n")
+        run = F.when((u == 0) & (F.col("n") == 1), "baseline").otherwise(F.concat_ws(".", F.concat(F.lit("run"), u.cast("string")), F.col("n").cast("string")))
+        return nth.select(
             run.alias("run"),
             F.col("event_type").alias("fixture"),
             F.when(F.col("event_type") == "click", 0)
@@ -284,8 +284,8 @@ class Tables:
             .otherwise(4)
             .alias("fixture_ord"),
             F.when(k % 11 != 0, True).alias("ok"),
-            (F.round(F.col("x.value") * 100) / 10000.0).alias("wer_norm"),
-            (F.round(F.col("x.value") * 200) / 10000.0).alias("wer_raw"),
+            (F.round(F.col("value") * 100) / 10000.0).alias("wer_norm"),
+            (F.round(F.col("value") * 200) / 10000.0).alias("wer_raw"),
             (900 + k % 400).cast("double").alias("peak_rss_mb"),
             (5000 + (k * 13) % 20_000).cast("double").alias("asr_ms"),
             F.concat(F.lit('{"threads":'), (u % 8).cast("string"), F.lit("}")).alias("flags"),

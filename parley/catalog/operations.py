@@ -252,7 +252,7 @@ def audio_resolution(spark, sf):
     t = Tables(spark, sf)
     r, k = t.recordings, F.col("k")
     asked = r.select(F.concat("id", F.when(k % 4 == 1, "-clean.wav").otherwise(".wav")).alias("name"))
-    return ops.resolve_audio(asked, r.filter(k % 2 == 0), t.files)
+    return ops.resolve_audio(asked, r.filter(k % 2 == 0), t.files, "/rec")
 
 
 @query(

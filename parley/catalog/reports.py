@@ -73,7 +73,7 @@ def pareto_front_events(spark, sf):
 
 @query(
     "pending_cells",
-    f"""WITH {d.RESULTS}, runs AS (SELECT DISTINCT CASE WHEN user_id = 0 THEN 'baseline' ELSE 'run' || user_id END AS run FROM events),
+    f"""WITH {d.RESULTS}, runs AS (SELECT DISTINCT run FROM results),
     fx AS (SELECT DISTINCT event_type AS fixture FROM events), done AS (SELECT run, fixture FROM results WHERE k % 3 <> 0)
     SELECT run, fixture FROM runs CROSS JOIN fx EXCEPT SELECT run, fixture FROM done""",
 )

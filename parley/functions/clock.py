@@ -96,5 +96,6 @@ def utc_text(ts: Column) -> Column:
 
 
 def parse_offset(text: Column) -> Column:
-    """Any-offset RFC 3339 text as an instant; NULL when malformed."""
-    return F.try_to_timestamp(text)
+    """Any-offset RFC 3339 text as an instant; NULL when malformed or without an offset."""
+    form = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
+    return F.when(text.rlike(form), F.try_to_timestamp(F.upper(text)))

@@ -1,9 +1,9 @@
 """Word edit distance between texts of single-blank separated tokens.
 
-Short pairs stay in the JVM: each distinct token becomes one code point and
-the built-in ``levenshtein`` counts. Long pairs go to Python in Arrow batches
-with a bit-parallel count, whose cost grows with n*m/64. Whole strings cross
-to Python, which is far cheaper than arrays of strings.
+Pairs go to Python in Arrow batches: a bit-parallel count, whose cost grows
+with n*m/64, and for the kinds of edits a table inside the diagonal band that
+the count proves wide enough. Whole strings cross to Python, which is far
+cheaper than arrays of strings.
 """
 
 from __future__ import annotations
@@ -14,10 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from parley.functions.flow import let
 
-SHORT_CHARS = 400
-_FIRST_CODE = 256
 _COUNTS = (
     StructType()
     .add("substitutions", LongType())
@@ -78,13 +75,20 @@ def edit_counts(ref: list, hyp: list) -> tuple[int, int, int]:
     x = np.array([codes[t] for t in a])
     y = np.array([codes[t] for t in b])
     gap = n + m + 1  # one edit outweighs any number of substitutions
+    # No cheapest alignment strays further from the diagonal than its edits.
+    reach = bit_distance(a, b)
     ramp = np.arange(m + 1, dtype=np.int64) * gap
-    row = ramp.copy()
+    row = np.full(m + 1, gap * gap, dtype=np.int64)
+    row[: reach + 1] = ramp[: reach + 1]
     for i in range(n):
-        best = np.empty(m + 1, dtype=np.int64)
-        best[0] = row[0] + gap
-        best[1:] = np.minimum(row[1:] + gap, row[:-1] + np.where(y == x[i], 0, gap + 1))
-        row = np.minimum.accumulate(best - ramp) + ramp
+        lo, hi = max(0, i + 1 - reach), min(m, i + 1 + reach)
+        best = row[lo : hi + 1] + gap
+        start = max(lo, 1)
+        step = row[start - 1 : hi] + np.where(y[start - 1 : hi] == x[i], 0, gap + 1)
+        best[start - lo :] = np.minimum(best[start - lo :], step)
+        row[lo : hi + 1] = np.minimum.accumulate(best - ramp[lo : hi + 1]) + ramp[lo : hi + 1]
+        if lo:
+            row[lo - 1] = gap * gap
     edits, subs = divmod(int(row[-1]), gap)
     indels = edits - subs
     dels = (indels + n - m) // 2
@@ -92,7 +96,7 @@ def edit_counts(ref: list, hyp: list) -> tuple[int, int, int]:
 
 
 @F.pandas_udf(LongType())
-def _long_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+def _distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series(
         [None if r is None or h is None else bit_distance(r.split(), h.split()) for r, h in zip(ref, hyp)],
         dtype="Int64",
@@ -116,19 +120,4 @@ def words(text: Column) -> Column:
 
 def token_distance(ref: Column, hyp: Column) -> Column:
     """Edit distance of two token texts as a BIGINT."""
-    short = F.length(ref) + F.length(hyp) <= SHORT_CHARS
-    long_way = _long_distance(F.when(~short, ref), F.when(~short, hyp))
-    return F.when(short, _short_distance(ref, hyp)).otherwise(long_way)
-
-
-def _short_distance(ref: Column, hyp: Column) -> Column:
-    """Built-in character distance over one code point per distinct token."""
-    toks = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
-    code = lambda v, t: F.decode(
-        F.unhex(F.lpad(F.hex(F.array_position(v, t) + _FIRST_CODE), 4, "0")), "UTF-16BE"
-    )
-    spell = lambda v, t: F.array_join(F.transform(toks(t), lambda w: code(v, w)), "")
-    return let(
-        F.array_distinct(F.concat(toks(ref), toks(hyp))),
-        lambda v: F.levenshtein(spell(v, ref), spell(v, hyp)).cast("long"),
-    )
+    return _distance(ref, hyp)

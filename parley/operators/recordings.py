@@ -263,8 +263,13 @@ def apply_changes(changes: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def enqueue_missing(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert by id unless tracked; tracked rows stay as they are."""
-    once = new.groupBy("id").agg(F.min_by(F.struct(*new.columns), F.col("started_at")).alias("_r")).select("_r.*")
+    """Insert by id unless tracked; tracked rows stay as they are.
+
+    Of new rows with one id the earliest goes in; equal times are told apart
+    by the whole row, so the choice never depends on the order of rows.
+    """
+    earliest = F.struct("started_at", F.to_json(F.struct(*new.columns)))
+    once = new.groupBy("id").agg(F.min_by(F.struct(*new.columns), earliest).alias("_r")).select("_r.*")
     return existing.unionByName(once.join(existing, "id", "left_anti"), allowMissingColumns=True)
 
 
@@ -356,12 +361,13 @@ def reflect_backoff(recordings: DataFrame, failed_jobs: DataFrame) -> DataFrame:
     )
 
 
-def resolve_audio(requests: DataFrame, recordings: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_audio(requests: DataFrame, recordings: DataFrame, files: DataFrame, folder: str) -> DataFrame:
     """Which audio a bare file name means.
 
     A tracked row's raw audio, then its cleaned sibling. Without a row: the
-    literal name, the stem, the cleaned stem. requests: name.
+    literal name, the stem, the cleaned stem, all in ``folder``. requests: name.
     """
+    at = F.lit(f"{folder.rstrip('/')}/")
     arg_clean = F.col("name").endswith("-clean.wav")
     r = requests.withColumn("stem", name_stem(F.col("name"))).join(
         recordings.select(F.col("id").alias("stem"), "audio_path"), "stem", "left"
@@ -374,9 +380,9 @@ def resolve_audio(requests: DataFrame, recordings: DataFrame, files: DataFrame)
         ),
     ).otherwise(
         F.array(
-            F.struct(F.concat(F.lit("/rec/"), "name").alias("path"), arg_clean.alias("clean")),
-            F.struct(F.concat(F.lit("/rec/"), "stem", F.lit(".wav")).alias("path"), F.lit(False).alias("clean")),
-            F.struct(F.concat(F.lit("/rec/"), "stem", F.lit("-clean.wav")).alias("path"), F.lit(True).alias("clean")),
+            F.struct(F.concat(at, "name").alias("path"), arg_clean.alias("clean")),
+            F.struct(F.concat(at, "stem", F.lit(".wav")).alias("path"), F.lit(False).alias("clean")),
+            F.struct(F.concat(at, "stem", F.lit("-clean.wav")).alias("path"), F.lit(True).alias("clean")),
         )
     )
     options = r.select("name", "stem", F.col("audio_path").isNotNull().alias("tracked"), F.posexplode(tries).alias("ord", "t"))

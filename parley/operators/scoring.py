@@ -11,7 +11,6 @@ from parley.functions import distance, text
 from parley.functions.flow import hold
 from parley.operators.ordered import in_order, row_chunk
 
-MAX_SPEAKERS = 20
 PART_SECS = 3600.0
 PART_TURNS = 10_000
 
@@ -108,13 +107,14 @@ def speaker_counts(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFrame
 def speaker_distances(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFrame:
     """Edit distance of every reference speaker to every hypothesis speaker.
 
-    Call it on recordings within the speaker limit only: the number of rows
-    per recording is the product of both speaker counts.
+    The number of rows per recording is the product of both speaker counts.
+    Pairs are dealt to tasks one by one, so a recording of many speakers is
+    many tasks' work.
     """
     pairs = ref.select(*keys, F.col("speaker_key").alias("ref_key"), F.col("text").alias("_r")).join(
         hyp.select(*keys, F.col("speaker_key").alias("hyp_key"), F.col("text").alias("_h")), keys
     )
-    return pairs.select(
+    return pairs.repartition(*keys, "ref_key", "hyp_key").select(
         *keys,
         "ref_key",
         "hyp_key",
@@ -158,7 +158,7 @@ def best_assignment(cost: list[list[float]]) -> float:
 
 @F.pandas_udf(LongType())
 def _assign(cells: pd.Series) -> pd.Series:
-    """Total errors per recording from its (bounded) list of speaker pairs."""
+    """Total errors per recording from its list of speaker pairs."""
     out = []
     for rows in cells:
         refs = {r["ref_key"]: r["ref_words"] for r in rows}
@@ -180,32 +180,36 @@ def _assign(cells: pd.Series) -> pd.Series:
 
 
 def speaker_error_rate(
-    ref: DataFrame, hyp: DataFrame, keys: list[str], max_speakers: int = MAX_SPEAKERS
+    ref: DataFrame, hyp: DataFrame, keys: list[str], max_speakers: int | None = None
 ) -> DataFrame:
     """Error rate under the best speaker assignment.
 
-    Recordings with more speakers than the limit get NULL and a note; their
-    speaker pairs are never built. At most max_speakers^2 cells per recording
-    reach the assignment.
+    All recordings are scored. With ``max_speakers``, those with more speakers
+    on a side get NULL and a note instead, and their pairs are not built. A
+    side without speakers leaves all words of the other as errors.
     """
-    counts = speaker_counts(ref, hyp, keys)
-    fits = F.greatest("ref_speakers", "hyp_speakers") <= max_speakers
-    ok = counts.filter(fits).select(*keys)
-    # A side without speakers counts as one speaker without words.
-    blank = ok.select(*keys, F.lit("").alias("speaker_key"), F.lit("").alias("text"))
-    pad = lambda d: d.join(ok, keys, "left_semi").select(*keys, "speaker_key", "text").unionByName(
-        blank.join(d.select(*keys).distinct(), keys, "left_anti")
+    side = lambda d, name: d.select(*keys, F.lit(name).alias("_side"), distance.words(F.col("text")).alias("_words"))
+    of = lambda name, value: F.when(F.col("_side") == name, value)
+    totals = (
+        side(ref, "ref")
+        .unionByName(side(hyp, "hyp"))
+        .groupBy(*keys)
+        .agg(
+            F.count(of("ref", 1)).alias("ref_speakers"),
+            F.count(of("hyp", 1)).alias("hyp_speakers"),
+            F.sum(of("ref", F.col("_words"))).alias("_ref_words"),
+            F.sum(of("hyp", F.col("_words"))).alias("_hyp_words"),
+        )
     )
-    cells = speaker_distances(pad(ref), pad(hyp), keys)
-    per_call = cells.groupBy(*keys).agg(
+    most = F.greatest("ref_speakers", "hyp_speakers")
+    fits = F.lit(True) if max_speakers is None else most <= max_speakers
+    if max_speakers is not None:
+        ref = ref.join(totals.filter(fits).select(*keys), keys, "left_semi")
+    per_call = speaker_distances(ref, hyp, keys).groupBy(*keys).agg(
         F.collect_list(F.struct("ref_key", "hyp_key", "ref_words", "hyp_words", "errors")).alias("_cells")
     )
-    words = (
-        ref.join(ok, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.sum(distance.words(F.col("text"))).alias("ref_words"))
-    )
-    scored = per_call.select(*keys, _assign("_cells").alias("errors")).join(words, keys, "left")
+    scored = totals.join(per_call.select(*keys, _assign("_cells").alias("_errors")), keys, "left")
+    one_sided = F.coalesce("_ref_words", F.lit(0)) + F.coalesce("_hyp_words", F.lit(0))
     note = F.concat(
         F.lit("too many speakers: hyp "),
         F.col("hyp_speakers").cast("string"),
@@ -213,6 +217,12 @@ def speaker_error_rate(
         F.col("ref_speakers").cast("string"),
         F.lit(" ref"),
     )
-    return counts.join(scored, keys, "left").withColumn(
-        "cpwer", rate(F.col("errors"), F.col("ref_words"))
-    ).withColumn("note", F.when(~fits, note))
+    return scored.select(
+        *keys,
+        "ref_speakers",
+        "hyp_speakers",
+        (F.col("hyp_speakers") - F.col("ref_speakers")).alias("speaker_count_error"),
+        F.when(fits, F.coalesce("_errors", one_sided)).alias("errors"),
+        F.when(fits, F.col("_ref_words")).alias("ref_words"),
+        F.when(~fits, note).alias("note"),
+    ).withColumn("cpwer", rate(F.col("errors"), F.col("ref_words")))

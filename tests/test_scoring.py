@@ -122,3 +122,27 @@ def test_runs_of_shared_shingles(spark):
     refs = mk([(7, "z a b c d z a b c")], "ref_id")
     got = alignment.best_spans(alignment.clip_matches(clips, refs), 3).collect()
     assert [(r.ref_start, r.words, r.runs) for r in got] == [(1, 4, 2)]
+
+
+def test_many_speakers_are_scored(spark):
+    schema = "recording_id string, speaker_key string, text string"
+    ref = spark.createDataFrame([("r", f"s{i}", f"w{i} x{i}") for i in range(25)], schema)
+    hyp = spark.createDataFrame([("r", f"h{i}", f"w{i} x{i}" if i else "w0 oops") for i in range(25)], schema)
+    got = scoring.speaker_error_rate(ref, hyp, ["recording_id"]).first()
+    assert (got.errors, got.ref_words, got.note) == (1, 50, None)
+
+
+def test_edit_counts_inside_the_band():
+    rng = random.Random(9)
+    for _ in range(200):
+        a = [rng.randrange(4) for _ in range(rng.randrange(0, 25))]
+        b = [rng.randrange(4) for _ in range(rng.randrange(0, 25))]
+        n, m = len(a), len(b)
+        table = {(i, 0): (i, 0) for i in range(n + 1)} | {(0, j): (j, 0) for j in range(m + 1)}
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                (e, s), (e1, s1), (e2, s2) = table[i - 1, j - 1], table[i - 1, j], table[i, j - 1]
+                d = int(a[i - 1] != b[j - 1])
+                table[i, j] = min((e + d, s + d), (e1 + 1, s1), (e2 + 1, s2))
+        s, d, i = distance.edit_counts(a, b)
+        assert (s + d + i, s) == table[n, m] and d - i == n - m
