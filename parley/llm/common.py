@@ -99,15 +99,24 @@ def thinned(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return found.filter("shiftrightunsigned(_bits, cast(_bit % 64 as int)) % 2 <> 0").select(*df.columns)
 
 
-def bucket_components(spark: SparkSession, rows: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def bucket_components(
+    spark: SparkSession,
+    rows: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    name: str,
+    narrow: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Components of the verified links between ids that share a bucket: (id, root).
 
     ``rows`` has ``bucket`` and ``id``; ``verify`` takes pairs (a, b), a < b,
     and returns those that are links. Ids are first paired with the smallest of
-    each bucket. After a union-find, the pairs of a bucket that are still in
-    different components are all verified. So the components are those of all
-    links between ids that share a bucket, and a bucket of many alike ids costs
-    as many pairs as it has members.
+    each bucket, so a bucket of many alike ids costs as many pairs as it has
+    members. After a union-find, buckets whose members are still in different
+    components are looked at again: ``narrow`` takes their (id, root) and
+    returns pairs (a, b), a < b, of different roots, among them every link.
+    So the components hold all links between ids that share a bucket. Without
+    ``narrow``, members of different roots in a bucket are the pairs: right
+    where ids that share a bucket are nearly always links.
     """
     bucket = W.partitionBy("bucket")
     met = rows.withColumns({"hub": F.min("id").over(bucket), "most": F.max("id").over(bucket)}).filter("hub < most")
@@ -120,8 +129,12 @@ def bucket_components(spark: SparkSession, rows: DataFrame, verify: Callable[[Da
     mixed = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
     mixed = mixed.filter("x <> y and n > 2").select("bucket")
     apart = settle(spark, members.join(mixed, "bucket"), name)
-    x, y = apart.alias("x"), apart.alias("y")
-    crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
-    second = crossing.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    if narrow is not None:
+        pairs = narrow(apart.select("id", "root").distinct())
+    else:
+        x, y = apart.alias("x"), apart.alias("y")
+        crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
+        pairs = crossing.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    second = pairs.join(first, ["a", "b"], "left_anti")
     more = verify(settle(spark, second, name)).select("a", "b")
     return components(spark, links.unionByName(more), name)

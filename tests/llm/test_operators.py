@@ -123,6 +123,31 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_report(empty).count() == 0
 
 
+def test_narrowed_pairs_hold_every_link(spark):
+    """Lines around a common passage, against all pairs: no link is lost, and lines with only the passage in common never meet."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    passage = " ".join(word() for _ in range(12))
+    texts = []
+    for _ in range(25):
+        base = (passage + " " + " ".join(word() for _ in range(12))).split(" ")
+        for _ in range(3):
+            near = list(base)
+            near[rnd.randrange(len(near))] = word()
+            texts.append(" ".join(near))
+    like = line_dedup.LineLikeness()
+    lines = line_dedup._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    apart = lines.selectExpr("h1 AS id", "h1 AS root")
+    sets = {}
+    for r in line_dedup._shingles(lines, like, "h1").collect():
+        sets.setdefault(r.h1, set()).add(r.hash)
+    ids = sorted(sets)
+    links = {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    found = {(r.a, r.b) for r in line_dedup._narrowed(lines, apart, like).collect()}
+    assert links and links <= found
+    assert len(found) <= 75
+
+
 def test_near_lines(spark):
     base = " ".join(random.Random(5).choice(WORDS) + str(i) for i in range(60))
     near = base.replace(base.split()[30], "changed")
