@@ -156,6 +156,45 @@ def test_near_lines(spark):
     assert {r.doc_id: r.n_dropped for r in found.collect()} == {1: 0, 2: 1, 3: 0}
 
 
+def byte_shingles(line):
+    b = b"\n" * 4 + line.strip().lower().encode() + b"\n" * 4
+    return {b[i : i + 5] for i in range(len(b) - 4)}
+
+
+def alike(a, b):
+    x, y = byte_shingles(a), byte_shingles(b)
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def dropped_by_brute(texts):
+    """Places of lines that are not the first of their component, over all pairs."""
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(texts[i], texts[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i for i in range(len(texts)) if find(i) != i}
+
+
+def dropped_lines(spark, texts):
+    found = line_dedup.line_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return {r.doc_id for r in found.collect() if r.n_dropped}
+
+
+def test_lines_that_differ_at_their_end_stay(spark):
+    texts = ["The total amount is 12", "The total amount is 97", "From 2020-01-01 to 2020-02-01", "From 2020-01-01 to 2021-12-31"]
+    texts += ["Call 5550100 now for a quote", "Call 5550100 now for a quota", "12 items were sold", "97 items were sold", "a", "b", "ab", "THE TOTAL AMOUNT IS 12 "]
+    assert dropped_by_brute(texts) == {11}
+    assert dropped_lines(spark, texts) == {11}
+
+
 def test_language(docs, empty):
     found = language.identify(docs)
     by = {r.doc_id: r for r in found.collect()}
