@@ -99,6 +99,10 @@ def thinned(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return found.filter("shiftrightunsigned(_bits, cast(_bit % 64 as int)) % 2 <> 0").select(*df.columns)
 
 
+#: Members of a bucket that are all compared: at most half as many pairs a row.
+SMALL = 16
+
+
 def bucket_components(
     spark: SparkSession,
     rows: DataFrame,
@@ -127,14 +131,14 @@ def bucket_components(
     roots = components(spark, links, name)
     members = met.select("bucket", "id").distinct().join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     mixed = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
-    mixed = mixed.filter("x <> y and n > 2").select("bucket")
+    mixed = mixed.filter("x <> y and n > 2").select("bucket", "n")
     apart = settle(spark, members.join(mixed, "bucket"), name)
+    small = apart if narrow is None else apart.filter(F.col("n") <= SMALL)
+    x, y = small.alias("x"), small.alias("y")
+    crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
+    pairs = crossing.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     if narrow is not None:
-        pairs = narrow(apart.select("id", "root").distinct())
-    else:
-        x, y = apart.alias("x"), apart.alias("y")
-        crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
-        pairs = crossing.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        pairs = pairs.unionByName(narrow(apart.filter(F.col("n") > SMALL).select("id", "root").distinct())).distinct()
     second = pairs.join(first, ["a", "b"], "left_anti")
     more = verify(settle(spark, second, name)).select("a", "b")
     return components(spark, links.unionByName(more), name)

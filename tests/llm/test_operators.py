@@ -195,6 +195,20 @@ def test_lines_that_differ_at_their_end_stay(spark):
     assert dropped_lines(spark, texts) == {11}
 
 
+def test_edited_lines_of_all_lengths(spark):
+    """Against brute force: no line goes that should stay, and nearly all near copies go."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    texts = []
+    for n in range(20, 300, 4):
+        base = " ".join(word() for _ in range(n))[:n].strip()
+        at = rnd.randrange(len(base))
+        texts += [base, base[:at] + "z" + base[at + 1 :], base + "z", base[:-2] + "zz"]
+    want, found = dropped_by_brute(texts), dropped_lines(spark, texts)
+    assert found <= want
+    assert len(found) >= 0.97 * len(want)
+
+
 def test_language(docs, empty):
     found = language.identify(docs)
     by = {r.doc_id: r for r in found.collect()}
