@@ -4,18 +4,18 @@ Each source is cut into blocks. Block j of a source with weight w (a share of
 one) may not come before slot floor(j / w) and must come before slot
 ceil((j + 1) / w); earliest deadline first among the released blocks meets
 every deadline, so after any number of slots each source has had its share of
-them, up to less than one block. Weights are whole numbers over a period, so
-the order repeats with it: one period is worked out once, and a block's slot
-follows from its number.
+them, up to less than one block. Weights are taken as they are, as fractions:
+the schedule is worked out for every block, and rows find the slot of theirs.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ from parley.llm.sharding import text_bytes
 
 #: Rows whose sizes are added up in one task.
 SUMMED_ROWS = 100_000
+#: Blocks up to which the schedule is sent to all tasks; a longer one is joined by exchange.
+SENT_BLOCKS = 1_000_000
 
 
 def whole_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -42,49 +44,62 @@ def whole_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return counts
 
 
-def period_slots(counts: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slots of each source in one period: earliest deadline first among released blocks."""
-    period = sum(counts.values())
-    slots: dict[str, list[int]] = {s: [] for s in counts}
-    waiting = [(0, s) for s in sorted(counts)]  # (release, source) of each source's next block
+def scheduled(weights: Mapping[str, int], left: Mapping[str, int]) -> dict[str, list[int]]:
+    """Slots of each source until one has no block left: earliest deadline first among released blocks."""
+    total = sum(weights.values())
+    slots: dict[str, list[int]] = {s: [] for s in weights}
+    waiting = [(0, s) for s in sorted(weights)]  # (release, source) of each source's next block
     heapq.heapify(waiting)
     ready: list[tuple[int, str]] = []
-    for slot in range(period):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             _, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * period // counts[s]), s))
+            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * total // weights[s]), s))
         _, s = heapq.heappop(ready)
         slots[s].append(slot)
-        if len(slots[s]) < counts[s]:
-            heapq.heappush(waiting, (len(slots[s]) * period // counts[s], s))
-    return slots
+        if len(slots[s]) == left[s]:
+            return slots
+        heapq.heappush(waiting, (len(slots[s]) * total // weights[s], s))
+        slot += 1
+
+
+def period_slots(counts: Mapping[str, int]) -> dict[str, list[int]]:
+    """Slots of each source in one period of its counts."""
+    period = sum(counts.values())
+    slots = scheduled(counts, {s: n + 1 for s, n in counts.items()})
+    return {s: [x for x in found if x < period] for s, found in slots.items()}
 
 
-def phases(weights: Mapping[str, float], blocks: Mapping[str, int], period: int) -> dict[str, list[tuple]]:
-    """Runs of the schedule between the ends of sources.
+def exact_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Weights as whole numbers in the very proportions given."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*[w.denominator for w in exact.values()])
+    return {s: int(w * unit) for s, w in exact.items()}
 
-    When a source has no block left, the others go on by their weights. For
-    each source: (its first block in the run, the run's first slot, its blocks
-    in a period, the slots in a period, its slots in one period).
+
+def schedule(weights: Mapping[str, float], blocks: Mapping[str, int], period: int | None = None) -> Iterator[tuple]:
+    """(source, block, phase, release, deadline, slot) of all blocks.
+
+    When a source has no block left, a new phase begins and the others go on by
+    their weights. With a ``period`` weights are rounded to counts of it.
     """
     left = {s: n for s, n in blocks.items() if n}
     done = dict.fromkeys(left, 0)
-    out: dict[str, list[tuple]] = {s: [] for s in left}
-    start = 0
+    start = phase = 0
     while left:
-        counts = whole_weights({s: weights[s] for s in left}, max(period, 8 * len(left)))
-        slots = period_slots(counts)
-        size = sum(counts.values())
-        ends = {s: (n - 1) // counts[s] * size + slots[s][(n - 1) % counts[s]] + 1 for s, n in left.items()}
-        length = min(ends.values())
-        for s in sorted(left):
-            out[s].append((done[s], start, counts[s], size, slots[s]))
-            used = length // size * counts[s] + sum(x < length % size for x in slots[s])
-            done[s] += used
-            left[s] -= used
+        now = {s: weights[s] for s in left}
+        counts = exact_weights(now) if period is None else whole_weights(now, max(period, 8 * len(left)))
+        total = sum(counts.values())
+        slots = scheduled(counts, left)
+        for s, found in slots.items():
+            for j, slot in enumerate(found):
+                yield s, done[s] + j, phase, start + j * total // counts[s], start - (-(j + 1) * total // counts[s]), start + slot
+            done[s] += len(found)
+            left[s] -= len(found)
+        start += sum(map(len, slots.values()))
         left = {s: n for s, n in left.items() if n}
-        start += length
-    return out
+        phase += 1
 
 
 def mix(
@@ -94,7 +109,7 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     block_bytes: int = 64_000,
-    period: int = 1000,
+    period: int | None = None,
     temper: float = 0.5,
 ) -> DataFrame:
     """Give every row its place in a mix of the sources.
@@ -108,16 +123,16 @@ def mix(
     Sorting by ``slot`` and ``place`` gives the mix. No row is dropped or
     repeated: when a source ends, the others go on by their weights.
 
-    ``weights`` are shares of any sum; a source without one gets the least
-    given. Without weights they are the sources' bytes to the power
+    ``weights`` are shares of any sum; a source without one, or with 0,
+    gets the least given. Without weights they are the sources' bytes to the power
     ``temper``. NULL is a source of its own, a NULL text has no bytes, repeated
     rows follow one another, an empty table gives an empty result. Columns of
     the added names are replaced, others kept.
 
     A source's bytes are added up in parts of a bounded number of rows, so one
     that holds a third of them is many tasks. One row a source, its number of
-    blocks, reaches the driver, and the plan that goes back has a period for
-    each source and phase.
+    blocks, reaches the driver, and one row a block goes back. Without
+    ``period`` the weights are exact, however long the input.
     """
     spark = docs.sparkSession
     made = ["size", "block", "phase", "release", "deadline", "slot", "place"]
@@ -138,36 +153,21 @@ def mix(
         return rows.select(*keep, "size", *[F.lit(None).cast("long").alias(c) for c in made[1:]])
     blocks = {s: -(-b // block_bytes) for s, b in totals.items()}
     if weights is None:
-        wanted = {s: Fraction(float(b) ** temper).limit_denominator(10**6) for s, b in totals.items()}
+        wanted = {s: Fraction(float(b) ** temper) for s, b in totals.items()}
     else:
-        wanted = {s: weights.get(s[1:], min(weights.values())) for s in totals}
-    runs = phases(wanted, blocks, period)
-    firsts = sorted({run[1] for each in runs.values() for run in each})
-    planned = spark.createDataFrame(
-        [(s, [(*run, firsts.index(run[1])) for run in runs[s]]) for s in totals],
-        "_source string, _runs array<struct<first:long,start:long,count:long,period:long,slots:array<int>,phase:int>>",
-    )
+        least = min((w for w in weights.values() if w > 0), default=1)
+        wanted = {s: w if (w := weights.get(s[1:], least)) > 0 else least for s in totals}
+    plan = list(schedule(wanted, blocks, period))
+    planned = spark.createDataFrame(plan, "_source string, block long, phase long, release long, deadline long, slot long")
+    planned = F.broadcast(planned) if len(plan) <= SENT_BLOCKS else planned
     row = W.partitionBy("_source", "_part").orderBy("_order", key, F.xxhash64(*keep))
     before = F.coalesce(F.sum("size").over(row.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # Keys and partitions of the sum are those of the join, so rows move once for both.
     placed = rows.withColumn("_before", before).join(starts, ["_source", "_part"]).withColumn("_at", F.col("_start") + F.col("_before"))
     blocked = placed.withColumn("block", F.floor(F.col("_at") / block_bytes))
-    found = blocked.join(F.broadcast(planned), "_source").withColumn(
-        "_run", F.element_at(F.filter("_runs", lambda r: r["first"] <= F.col("block")), -1)
-    )
-    run: Column = F.col("_run")
-    local = F.col("block") - run["first"]
-    count, size = run["count"], run["period"]
-    return found.select(
-        *keep,
-        "size",
-        "block",
-        run["phase"].cast("long").alias("phase"),
-        (run["start"] + F.floor(local * size / count)).alias("release"),
-        (run["start"] + F.ceil((local + 1) * size / count)).alias("deadline"),
-        (run["start"] + F.floor(local / count) * size + F.get(run["slots"], F.pmod(local, count).cast("int"))).alias("slot"),
-        (F.col("_at") - F.col("block") * block_bytes).alias("place"),
-    )
+    found = blocked.join(planned, ["_source", "block"])
+    place = F.col("_at") - F.col("block") * block_bytes
+    return found.select(*keep, "size", "block", "phase", "release", "deadline", "slot", place.alias("place"))
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -236,6 +236,23 @@ def test_period_deviates_by_less_than_a_block():
             assert abs(sum(x < t for x in slots[s]) - t * n / 97) < 1
 
 
+def test_schedule_keeps_to_the_weights_as_given():
+    """Deviation from the unrounded targets, with weights of no short period and one far below a thousandth."""
+    rnd = random.Random(4)
+    weights = {f"s{i:02}": rnd.random() + 0.1 for i in range(20)} | {"rare": 0.002}
+    total = sum(weights.values())
+    plan = list(mixing.schedule(weights, {s: int(60_000 * w / total) + 2 for s, w in weights.items()}))
+    assert sorted(r[5] for r in plan) == list(range(len(plan)))
+    assert all(release <= slot < deadline for _, _, _, release, deadline, slot in plan)
+    first = sorted((r[5], r[0]) for r in plan if r[2] == 0)
+    assert len(first) > 50_000
+    done = Counter()
+    for slot, s in first:
+        done[s] += 1
+        if slot % 997 == 0 or slot > len(first) - 50:
+            assert all(abs(done[x] - w / total * (slot + 1)) < 1 for x, w in weights.items())
+
+
 def test_packing(docs, empty):
     files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     from tokenizers import Tokenizer
