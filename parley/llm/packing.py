@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -228,21 +228,40 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     return best
 
 
-def _ranked(pieces: DataFrame, groups: int) -> DataFrame:
+def _parts(pieces: DataFrame, groups: int, order: Sequence[str]) -> Column:
+    """A number of about ``groups`` for each piece: by a hash, or by spans of the first of ``order``."""
+    if not order:
+        return F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    last = pieces.agg(F.max(order[0])).first()[0] or 0
+    return F.floor(F.col(order[0]) / F.lit(-(-(last + 1) // groups))).cast("int")
+
+
+def _ranked(pieces: DataFrame, groups: int, order: Sequence[str] = ()) -> DataFrame:
     """Add ``rank``, the gapless place of a piece among those of its length.
 
     Each length is counted in ``groups`` parts, so that a length that a third
     of all pieces have is not ranked in one task.
     """
-    parted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    parted = pieces.withColumn("part", _parts(pieces, groups, order))
     counts = parted.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    place = W.partitionBy("length", "part").orderBy("doc_id", "piece")
+    place = W.partitionBy("length", "part").orderBy(*order, "doc_id", "piece")
     return parted.withColumn("n", F.row_number().over(place)).join(starts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("n") - 1).drop("part", "n", "before")
 
 
-def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
+def _in_order(packed: DataFrame, groups: int, order: Sequence[str]) -> DataFrame:
+    """Number the sequences anew, by the place of their first piece in ``order``. Parts are counted as in ``_ranked``."""
+    heads = packed.filter("offset = 0").select("sequence_id", *order).withColumn("part", _parts(packed, groups, order))
+    counts = heads.groupBy("part").agg(F.count("*").alias("n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a part
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy(*order, "sequence_id"))
+    numbered = heads.withColumn("n", place).join(starts, "part").select("sequence_id", (F.col("before") + F.col("n") - 1).alias("_number"))
+    return packed.join(numbered, "sequence_id").select(*[F.col("_number").alias(c) if c == "sequence_id" else c for c in packed.columns])
+
+
+def pack(pieces: DataFrame, capacity: int = 1024, order: Sequence[str] = ()) -> DataFrame:
     """Give every piece its ``sequence_id`` and its ``offset`` there.
 
     ``pieces`` has ``doc_id``, ``piece``, ``length`` (1 to ``capacity``) and
@@ -251,6 +270,10 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     empty table gives an empty result. The histogram has at most ``capacity``
     rows, whatever the input; it is all that reaches the driver, and the plan
     that goes back has one row for each length.
+
+    With ``order``, columns of which the first counts from 0, pieces of a
+    length are taken in that order, and sequences are numbered by the place of
+    their first piece.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -266,18 +289,22 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     schema = "length long, runs array<struct<rank:long,bin:long,each:int,offset:long>>"
     looked_up = spark.createDataFrame([(n, runs) for n, runs in of_length.items()], schema)
     rows = max(1, sum(counts.values()))
-    placed = _ranked(pieces, -(-rows // RANKED_ROWS)).join(F.broadcast(looked_up), "length")
+    groups = -(-rows // RANKED_ROWS)
+    placed = _ranked(pieces, groups, order).join(F.broadcast(looked_up), "length")
     run: Column = F.element_at(F.filter("runs", lambda r: r["rank"] <= F.col("rank")), -1)
     within = F.col("rank") - F.col("run.rank")
-    return (
+    packed = (
         placed.withColumn("run", run)
         .withColumn("sequence_id", F.col("run.bin") + F.floor(within / F.col("run.each")))
         .withColumn("offset", F.col("run.offset") + F.pmod(within, F.col("run.each")) * F.col("length"))
         .select(*pieces.columns, "sequence_id", "offset")
     )
+    if not order:
+        return packed
+    return _in_order(settle(spark, packed, "packed"), groups, order)
 
 
-def pack_documents(docs: DataFrame, json_file: str, ranks_file: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, json_file: str, ranks_file: str | None = None, capacity: int = 1024, end_id: int = 2, order: Sequence[str] = ()) -> DataFrame:
     """Tokenize, cut and pack: one row a piece. Texts are tokenized once and only lengths are kept."""
-    pieces = settle(docs.sparkSession, token_pieces(docs.select("doc_id", "text"), json_file, ranks_file, capacity, end_id), "pieces")
-    return pack(pieces, capacity)
+    pieces = settle(docs.sparkSession, token_pieces(docs.select("doc_id", "text", *order), json_file, ranks_file, capacity, end_id), "pieces")
+    return pack(pieces, capacity, order)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 
+import corpus_pipeline
 from parley.llm import fingerprints, html_text, language, line_dedup, mixing, ngram_join, packing, quality, sharding, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, slot string"
@@ -278,6 +279,27 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, *files).count() == 0
 
 
+def test_sequences_follow_the_mix(spark):
+    """The last two stages have all pieces with and without the mix; its first sequences hold the sources by weight only with it."""
+    rnd = random.Random(8)
+    sources = ["a"] * 240 + ["b"] * 30 + ["c"] * 30
+    made = [(i, " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(900, 1300))), "en", s) for i, s in enumerate(sources)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string").repartition(3)
+
+    def shares(docs):
+        found = corpus_pipeline.packed(spark, docs, "").collect()
+        n = max(r.sequence_id for r in found) + 1
+        assert {r.sequence_id for r in found} == set(range(n))
+        early = [r for r in found if r.sequence_id < 0.4 * n]
+        share = sum(r.length for r in early if sources[r.doc_id] == "a") / sum(r.length for r in early)
+        return share, sorted((r.doc_id, r.piece, r.length) for r in found)
+
+    with_mix, without = shares(corpus_pipeline.mixed_sources(spark, docs, "")), shares(docs)
+    assert with_mix[1] == without[1]
+    # Natural share 0.8; by the square roots of the bytes it is 0.59.
+    assert without[0] > 0.74 and abs(with_mix[0] - 0.59) < 0.08
+
+
 def test_bin_completion_is_exact_on_small_cases():
     assert sum(n for _, n in packing.plan({6: 2, 4: 2, 5: 2}, 10)) == 3
     assert sum(n for _, n in packing.plan({7: 3, 3: 3}, 10)) == 3
