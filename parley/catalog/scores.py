@@ -184,17 +184,66 @@ def clip_alignment(spark, sf):
     return alignment.best_spans(alignment.clip_matches(clips, refs))
 
 
-@query("clip_coverage")
+# Longest common run first, then left and right of it: each step takes the
+# longest piece of a diagonal run inside an open rectangle.
+_COVERAGE = f"""WITH RECURSIVE
+    clips AS (SELECT item_id AS clip_id, {d.normal_text("text")} AS h FROM benchmark),
+    refs AS (SELECT doc_id AS ref_id, text, {d.normal_text("text")} AS t FROM documents),
+    clip_windows AS (SELECT clip_id, least(len(h), 5) AS n, unnest(range(1, len(h) - least(len(h), 5) + 2)) AS i, h FROM clips WHERE len(h) > 0),
+    ref_windows AS (SELECT ref_id, n, unnest(range(1, len(t) - n + 2)) AS i, t
+                    FROM refs CROSS JOIN (SELECT DISTINCT n FROM clip_windows) WHERE len(t) >= n),
+    pairs AS (SELECT DISTINCT clip_id, ref_id
+              FROM (SELECT clip_id, n, h[i:i + n - 1] AS gram FROM clip_windows)
+              JOIN (SELECT ref_id, n, t[i:i + n - 1] AS gram FROM ref_windows) USING (n, gram)),
+    raw AS (SELECT ref_id, list_filter(string_split_regex(text, {d.WS}), lambda x: x <> '') AS rr FROM refs
+            WHERE ref_id IN (SELECT ref_id FROM pairs)),
+    raw_words AS (SELECT ref_id, unnest(range(len(rr))) AS place, unnest(rr) AS raw_word FROM raw),
+    raw_split AS (SELECT ref_id, place, {d.normal_text("raw_word")} AS ws FROM raw_words),
+    raw_parts AS (SELECT ref_id, place, unnest(range(len(ws))) AS k, unnest(ws) AS w FROM raw_split),
+    mapped AS (SELECT ref_id, row_number() OVER (PARTITION BY ref_id ORDER BY place, k) - 1 AS p, place, w FROM raw_parts),
+    hyp AS (SELECT clip_id, unnest(range(len(h))) AS p, unnest(h) AS w FROM clips),
+    cells AS (SELECT clip_id, ref_id, m.p AS a, y.p AS b FROM pairs JOIN mapped m USING (ref_id) JOIN hyp y USING (clip_id) WHERE m.w = y.w),
+    marked AS (SELECT *, a - row_number() OVER (PARTITION BY clip_id, ref_id, a - b ORDER BY a) AS g FROM cells),
+    runs AS (SELECT clip_id, ref_id, a - b AS off, min(a) AS a, count(*) AS n FROM marked GROUP BY clip_id, ref_id, a - b, g),
+    sizes AS (SELECT clip_id, ref_id, (SELECT count(*) FROM mapped m WHERE m.ref_id = pairs.ref_id) AS total, len(h) AS clip
+              FROM pairs JOIN clips USING (clip_id)),
+    rec AS (
+      SELECT clip_id, ref_id, 0::BIGINT AS alo, total AS ahi, 0::BIGINT AS blo, clip::BIGINT AS bhi,
+             0::BIGINT AS ba, 0::BIGINT AS bb, 0::BIGINT AS bn FROM sizes
+      UNION ALL
+      SELECT clip_id, ref_id, CASE side WHEN 0 THEN alo ELSE a + n END, CASE side WHEN 0 THEN a ELSE ahi END,
+             CASE side WHEN 0 THEN blo ELSE b + n END, CASE side WHEN 0 THEN b ELSE bhi END,
+             a, b, CASE side WHEN 0 THEN n ELSE 0 END
+      FROM (SELECT clip_id, ref_id, alo, ahi, blo, bhi, best.n AS n, -best.a AS a, -best.b AS b
+            FROM (SELECT clip_id, ref_id, alo, ahi, blo, bhi, max(struct_pack(n := e - s, a := -s, b := -(s - off))) AS best
+                  FROM (SELECT r.clip_id, r.ref_id, alo, ahi, blo, bhi, u.off, greatest(u.a, alo, blo + u.off) AS s,
+                               least(u.a + u.n, ahi, bhi + u.off) AS e
+                        FROM rec r JOIN runs u ON u.clip_id = r.clip_id AND u.ref_id = r.ref_id WHERE ahi > alo AND bhi > blo)
+                  WHERE e > s GROUP BY ALL))
+      CROSS JOIN (SELECT unnest([0, 1]) AS side)),
+    blocks AS (SELECT clip_id, ref_id, ba AS a, bb AS b, bn AS n FROM rec WHERE bn > 0),
+    anchors AS (SELECT clip_id, ref_id, max(struct_pack(n := n, a := -a, shift := a - b)) AS m FROM blocks GROUP BY ALL),
+    bounds AS (SELECT clip_id, ref_id, total, clip, greatest(m.shift, 0) AS low, least(total, greatest(m.shift, 0) + clip) AS high,
+                      greatest(clip // 5, 50) AS margin FROM anchors JOIN sizes USING (clip_id, ref_id)),
+    used AS (SELECT clip_id, ref_id, total, clip, min(a) AS a, max(a + n) AS z, sum(n) AS matched
+             FROM blocks JOIN bounds USING (clip_id, ref_id) WHERE a >= low - margin AND a < high + margin GROUP BY ALL),
+    spans AS (SELECT u.*, x.place AS raw_start, y.place AS raw_end FROM used u
+              JOIN mapped x ON x.ref_id = u.ref_id AND x.p = u.a JOIN mapped y ON y.ref_id = u.ref_id AND y.p = u.z - 1)
+    SELECT clip_id, ref_id, total AS ref_words_total, coalesce(clip, len(h))::BIGINT AS hyp_words, matched::BIGINT AS matched_words,
+           round(matched / greatest(clip, 1), 4) AS coverage, raw_start, raw_end, raw_end - raw_start + 1 AS ref_span_words,
+           array_to_string(rr[raw_start + 1:raw_end + 1], ' ') AS span_text,
+           CASE WHEN matched IS NULL THEN 'no alignment between hypothesis and reference' END AS error,
+           CASE WHEN matched IS NULL THEN 'unaligned' WHEN round(matched / greatest(clip, 1), 4) > 0.9 THEN 'clean'
+                WHEN round(matched / greatest(clip, 1), 4) < 0.85 THEN 'suspect' ELSE 'borderline' END AS quality
+    FROM clips LEFT JOIN spans USING (clip_id) LEFT JOIN raw USING (ref_id)"""
+
+
+@query("clip_coverage", _COVERAGE)
 def clip_coverage(spark, sf):
-    """Exact span, coverage and class of each clip in the documents that hold a run of it."""
+    """Exact span, coverage and class of each clip in every document that shares a window of it; a row with an error for other clips."""
     t = Tables(spark, sf)
-    best = clip_alignment(spark, sf).select("clip_id", "ref_id")
-    pairs = (
-        best.join(t.raw("benchmark").select(F.col("item_id").alias("clip_id"), F.col("text").alias("hyp")), "clip_id")
-        .join(t.raw("documents").select(F.col("doc_id").alias("ref_id"), F.col("text").alias("ref")), "ref_id")
-    )
-    out = alignment.align_clips(pairs)
-    return out.withColumn("quality", alignment.coverage_class(F.col("coverage")))
+    clips = t.raw("benchmark").select(F.col("item_id").alias("clip_id"), F.col("text").alias("hyp"))
+    return alignment.located_clips(clips, t.raw("documents").select(F.col("doc_id").alias("ref_id"), F.col("text").alias("ref")))
 
 
 @query(

@@ -1,35 +1,52 @@
-"""Locating an untimed clip inside a long reference."""
+"""Locating an untimed clip inside a long reference.
+
+Common runs of two token texts are found as rows: windows of 1, 4, 16, ...
+tokens are named by hashes built from those of the level below, windows that
+occur on both sides meet in a join, and windows one after another on one
+diagonal are a run. Levels are worked from the longest down, and each only
+inside the gaps that the runs of the levels above have left, so short windows,
+of which common words make very many, are joined in small gaps only.
+"""
 
 from __future__ import annotations
 
-import difflib
+import heapq
+from bisect import bisect_right
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
 
 from parley.functions import text
 from parley.functions.flow import hold
 from parley.operators.ordered import first, islands, rows, time_chunk
+from parley.session import settle
 
 SHINGLE = 5
 # Drift allowed around the estimated window.
 MIN_MARGIN = 50
 MARGIN_PART = 5
-_BLOCKS = ArrayType(StructType().add("a", LongType()).add("b", LongType()).add("n", LongType()))
+# Each level's windows are so many times longer than the next one's.
+GROWTH = 4
 
 
-def shingles(docs: DataFrame, key: str, tokens: Column, n: int = SHINGLE) -> DataFrame:
-    """One row per n-token window: key, pos, gram (64-bit hash) and its words."""
-    toks = hold(docs.select(key, tokens.alias("_t")), "_t").filter(F.size("_t") >= n)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size("_t") - n + 1),
-        lambda i: F.array_join(F.slice("_t", i, n), " "),
-    )
-    return toks.select(key, F.posexplode(grams).alias("pos", "gram")).withColumn(
-        "pos", F.col("pos").cast("long")
-    )
+def shingles(docs: DataFrame, key: str, tokens: Column, n: int | Sequence[int] = SHINGLE, own: bool = False) -> DataFrame:
+    """One row per window of tokens: key, pos, gram (a 64-bit hash of the window and its length).
+
+    ``n`` is the window's length, or several. With ``own``, texts have windows
+    of one length only: the longest of ``n`` that fits, or all their tokens if
+    none does, so that a short text is not without a window.
+    """
+    sizes = sorted([n] if isinstance(n, int) else set(n))
+    toks = hold(docs.select(key, tokens.alias("_t")), "_t").filter(F.size("_t") > 0)
+    every = F.array(*[F.lit(k) for k in sizes])
+    longest = F.array_max(F.filter(every, lambda k: k <= F.size("_t")))
+    lengths = F.array(F.coalesce(longest, F.size("_t"))) if own else F.filter(every, lambda k: k <= F.size("_t"))
+    cut = toks.select(key, "_t", F.explode(lengths).alias("_n"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("_t") - F.col("_n") + 1), lambda i: F.xxhash64(F.slice("_t", i, F.col("_n")), F.col("_n")))
+    return cut.select(key, F.posexplode(grams).alias("pos", "gram")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def clip_matches(clips: DataFrame, references: DataFrame) -> DataFrame:
@@ -68,14 +85,116 @@ def best_spans(runs: DataFrame, n: int = SHINGLE) -> DataFrame:
     )
 
 
-@F.pandas_udf(_BLOCKS)
-def _common_blocks(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Common runs of both token arrays, in order, longest-first recursion."""
-    found = []
-    for r, h in zip(ref, hyp):
-        match = difflib.SequenceMatcher(None, list(r), list(h), autojunk=False)
-        found.append([{"a": a, "b": b, "n": n} for a, b, n in match.get_matching_blocks() if n])
-    return pd.Series(found)
+def _chosen(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Pick runs of one gap: always the longest that is left, cut to the space between those already picked.
+
+    Of equally long ones the earliest in ``a`` is taken, then the earliest in
+    ``b``. What a pick leaves of a crossing run lies on one side of it, as no
+    run is longer than the pick; remains shorter than ``least`` wait for the
+    next level.
+    """
+
+    def pick(runs: pd.DataFrame) -> pd.DataFrame:
+        heap = [(-n, a, b) for n, a, b in zip(runs["n"].tolist(), runs["a"].tolist(), runs["b"].tolist())]
+        heapq.heapify(heap)
+        starts: list[int] = []
+        picked: list[tuple[int, int, int]] = []
+        while heap:
+            size, a, b = heapq.heappop(heap)
+            n, at = -size, bisect_right(starts, a)
+            skip, end = 0, n
+            if at:
+                x, y, m = picked[at - 1]
+                skip = max(0, x + m - a, y + m - b)
+            if at < len(picked):
+                x, y, _ = picked[at]
+                end = min(end, x - a, y - b)
+            if end - skip < least:
+                continue
+            if end - skip < n:
+                heapq.heappush(heap, (skip - end, a + skip, b + skip))
+                continue
+            starts.insert(at, a)
+            picked.insert(at, (a, b, n))
+        out = pd.DataFrame(picked, columns=["a", "b", "n"], dtype="int64")
+        out.insert(0, "_pair", runs["_pair"].iloc[0])
+        return out
+
+    return pick
+
+
+def common_runs(pairs: DataFrame) -> DataFrame:
+    """Common runs of both token arrays of each row: ``_pair``, ``a``, ``b``, ``n``.
+
+    ``pairs`` has a unique ``_pair`` (long) and the arrays ``a`` and ``b``; it is read
+    several times and should be a table. The longest common run is taken
+    first, the earliest in ``a`` and then in ``b`` of equally long ones, then
+    the longest on either side of it, and so on, until no token is in common.
+    Tokens and windows are compared by 64-bit hashes. NULL tokens are not
+    expected; empty arrays have no runs.
+
+    A level costs one join of windows and one group per gap, whatever the
+    number of runs; there are as many levels as the base-4 logarithm of the
+    longest shorter side. A gap's runs, not its texts, are one task's work.
+    """
+    spark = pairs.sparkSession
+    sizes = pairs.select("_pair", F.size("a").cast("long").alias("ahi"), F.size("b").cast("long").alias("bhi")).filter("ahi > 0 and bhi > 0")
+    longest = sizes.agg(F.max(F.least("ahi", "bhi"))).first()[0] or 0
+    levels = [1]
+    while levels[-1] * GROWTH <= longest:
+        levels.append(levels[-1] * GROWTH)
+
+    def windows(side: str) -> DataFrame:
+        df = pairs.select("_pair", F.transform(side, lambda t: F.xxhash64(t)).alias("g1"))
+        for n in levels[1:]:
+            below = f"g{n // GROWTH}"
+            last = F.size(below) - (GROWTH - 1) * (n // GROWTH)
+            parts = lambda i: [F.get(F.col(below), i + k * (n // GROWTH)) for k in range(GROWTH)]  # noqa: B023, E731
+            made = F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.xxhash64(*parts(i)))).otherwise(F.array().cast("array<bigint>"))
+            df = hold(df.withColumn(f"g{n}", made), f"g{n}")
+        return settle(spark, df, "windows")
+
+    both = {side: windows(side) for side in ("a", "b")}
+    whole = sizes.select("_pair", F.lit(0).cast("long").alias("alo"), "ahi", F.lit(0).cast("long").alias("blo"), "bhi")
+    found, gaps = None, whole
+    for n in reversed(levels):
+        fits = gaps.filter((F.col("ahi") - F.col("alo") >= n) & (F.col("bhi") - F.col("blo") >= n))
+
+        def inside(side: str) -> DataFrame:
+            lo, hi = F.col(f"{side}lo"), F.col(f"{side}hi")
+            part = F.slice(f"g{n}", (lo + 1).cast("int"), (hi - lo - n + 1).cast("int"))  # noqa: B023
+            met = fits.join(both[side].select("_pair", f"g{n}"), "_pair")  # noqa: B023
+            return met.select("_pair", "alo", "blo", lo.alias("_lo"), F.posexplode(part).alias("_at", "gram")).select(
+                "_pair", "alo", "blo", (F.col("_lo") + F.col("_at")).alias(side), "gram"
+            )
+
+        gap = ["_pair", "alo", "blo"]
+        hits = inside("a").join(inside("b"), [*gap, "gram"]).withColumn("shift", F.col("a") - F.col("b"))
+        along = W.partitionBy(*gap, "shift").orderBy("a")
+        runs = (
+            hits.withColumn("_run", F.col("a") - F.row_number().over(along))
+            .groupBy(*gap, "shift", "_run")
+            .agg(F.min("a").alias("a"), F.min("b").alias("b"), (F.count("*") + (n - 1)).alias("n"))
+        )
+        picked = runs.groupBy(*gap).applyInPandas(_chosen(n), "_pair long, a long, b long, n long")
+        found = settle(spark, picked if found is None else found.unionByName(picked), "runs")
+        gaps = _gaps(found, whole)
+    return found
+
+
+def _gaps(found: DataFrame, whole: DataFrame) -> DataFrame:
+    """The spaces before, between and behind the runs of each pair that are empty on no side."""
+    end = F.struct((F.col("a") + F.col("n")).alias("a"), (F.col("b") + F.col("n")).alias("b"))
+    before = F.lag(end).over(W.partitionBy("_pair").orderBy("a"))
+    zero = F.lit(0).cast("long")
+    between = found.withColumn("_p", before).select(
+        "_pair", F.coalesce("_p.a", zero).alias("alo"), F.col("a").alias("ahi"), F.coalesce("_p.b", zero).alias("blo"), F.col("b").alias("bhi")
+    )
+    last = found.groupBy("_pair").agg(F.max_by(end, "a").alias("_e"))
+    behind = whole.join(last, "_pair", "left").select(
+        "_pair", F.coalesce("_e.a", zero).alias("alo"), "ahi", F.coalesce("_e.b", zero).alias("blo"), "bhi"
+    )
+    return between.unionByName(behind).filter("alo < ahi and blo < bhi")
 
 
 def align_clips(pairs: DataFrame, composed: bool = False) -> DataFrame:
@@ -85,6 +204,8 @@ def align_clips(pairs: DataFrame, composed: bool = False) -> DataFrame:
     clip-long window at that offset (plus a margin) count as matched, and the
     span goes from the first to the last of them. Tokens are normalized one by
     one, so a raw token can give none or several words that point back at it.
+    Every row stays: without a common word the error says so. A NULL text is
+    an empty one.
     """
     words_of = lambda w, i: F.transform(
         text.normal_tokens(w, True), lambda n: F.struct(n.alias("word"), i.cast("long").alias("at"))
@@ -98,7 +219,10 @@ def align_clips(pairs: DataFrame, composed: bool = False) -> DataFrame:
         "_hyp",
     )
     mapped = hold(split.withColumn("_ref", F.flatten(F.transform("_raw", words_of))), "_ref")
-    tok = hold(mapped.withColumn("_blocks", _common_blocks(F.col("_ref.word"), F.col("_hyp"))), "_blocks")
+    table = settle(pairs.sparkSession, mapped.withColumn("_pair", F.monotonically_increasing_id()), "clips")
+    found = common_runs(table.select("_pair", F.col("_ref.word").alias("a"), F.col("_hyp").alias("b")))
+    blocks = found.groupBy("_pair").agg(F.array_sort(F.collect_list(F.struct("a", "b", "n"))).alias("_blocks"))
+    tok = table.join(blocks, "_pair", "left").withColumn("_blocks", F.coalesce("_blocks", F.array().cast("array<struct<a:bigint,b:bigint,n:bigint>>")))
     size, clip = F.size("_ref").cast("long"), F.size("_hyp").cast("long")
     longest = F.array_max(
         F.transform("_blocks", lambda x: F.struct(x["n"].alias("n"), -x["a"], (x["a"] - x["b"]).alias("shift")))
@@ -158,3 +282,26 @@ def coverage_class(coverage: Column) -> Column:
         .when(coverage < 0.85, "suspect")
         .otherwise("borderline")
     )
+
+
+def located_clips(clips: DataFrame, references: DataFrame) -> DataFrame:
+    """Each clip in every reference that shares a window with it, with its quality.
+
+    ``clips`` has clip_id and hyp, ``references`` ref_id and ref. Windows have
+    SHINGLE tokens; a shorter clip is one window of all its tokens. A clip that
+    shares none has one row without a reference and with an error text.
+    """
+    spark = clips.sparkSession
+    windows = shingles(clips, "clip_id", text.normal_tokens(F.col("hyp")), range(1, SHINGLE + 1), own=True)
+    least = F.least(F.size(text.normal_tokens(F.col("hyp"))), F.lit(SHINGLE))
+    sizes = [r[0] for r in clips.select(least).distinct().collect() if r[0]]  # at most SHINGLE of them
+    known = shingles(references, "ref_id", text.normal_tokens(F.col("ref")), sizes or SHINGLE)
+    met = settle(spark, windows.select("clip_id", "gram").join(known.select("ref_id", "gram"), "gram").select("clip_id", "ref_id").distinct(), "met")
+    found = align_clips(met.join(clips, "clip_id").join(references, "ref_id"))
+    lone = clips.join(met, "clip_id", "left_anti").withColumn("ref_id", F.lit(None).cast(references.schema["ref_id"].dataType))
+    nothing = lone.select(
+        *[F.size(text.normal_tokens(F.col("hyp"))).cast("long").alias(c) if c == "hyp_words" else F.col(c) if c in ("clip_id", "ref_id")
+          else F.lit("no alignment between hypothesis and reference").alias(c) if c == "error"
+          else F.lit(None).cast(found.schema[c].dataType).alias(c) for c in found.columns]
+    )
+    return found.unionByName(nothing).withColumn("quality", coverage_class(F.col("coverage")))

@@ -1,5 +1,6 @@
 """Distances, normalizing, assignment and alignment against brute force."""
 
+import difflib
 import itertools
 import random
 
@@ -146,3 +147,41 @@ def test_edit_counts_inside_the_band():
                 table[i, j] = min((e + d, s + d), (e1 + 1, s1), (e2 + 1, s2))
         s, d, i = distance.edit_counts(a, b)
         assert (s + d + i, s) == table[n, m] and d - i == n - m
+
+
+def test_common_runs_are_those_of_the_longest_first_recursion(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):
+        words = "abcdefgh"[: rng.randrange(1, 9)]
+        a = [rng.choice(words) for _ in range(rng.randrange(0, 60))]
+        b = [w for w in a[rng.randrange(5) :] if rng.random() > 0.15] if k % 2 else [rng.choice(words) for _ in range(rng.randrange(0, 40))]
+        rows.append((k, a, b))
+    rows.append((99, ["the"] * 300, ["the"] * 200 + ["end"]))
+    long = [f"w{i}" for i in range(2000)]
+    rows.append((100, long, long[500:1500]))
+    got = {}
+    for r in alignment.common_runs(spark.createDataFrame(rows, "_pair long, a array<string>, b array<string>").repartition(3)).collect():
+        got.setdefault(r["_pair"], []).append((r.a, r.b, r.n))
+    joined = lambda blocks: sorted((a + i, b + i) for a, b, n in blocks for i in range(n))
+    for k, a, b in rows:
+        want = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+        assert joined(got.get(k, [])) == joined(want), k
+    assert got[100] == [(500, 0, 1000)]
+
+
+def test_every_clip_has_a_row(spark):
+    refs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "the end"), (3, None)], "ref_id long, ref string")
+    clips = spark.createDataFrame([(1, "Two, three"), (2, "END"), (3, "nothing of it here at all"), (4, ""), (5, None), (6, "zero two three four five six ten")], "clip_id long, hyp string")
+    got = {(r.clip_id, r.ref_id): r for r in alignment.located_clips(clips, refs).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, None), (4, None), (5, None), (6, 1)}
+    assert got[1, 1].span_text == "two three" and got[1, 1].quality == "clean" and got[2, 2].span_text == "end"
+    assert got[6, 1].matched_words == 5 and got[6, 1].raw_start == 1
+    assert all(got[k, None].error and got[k, None].quality == "unaligned" for k in (3, 4, 5)) and got[3, None].hyp_words == 6
+
+
+def test_windows_of_short_texts(spark):
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, list("abcdef")), (3, [])], "id long, t array<string>")
+    own = alignment.shingles(docs, "id", F.col("t"), range(1, 6), own=True).groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in own} == {1: 1, 2: 2}
+    assert alignment.shingles(docs, "id", F.col("t"), (2, 5)).count() == 1 + 5 + 2
