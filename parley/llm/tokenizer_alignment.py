@@ -15,6 +15,7 @@ That is why the corpus-wide counts of id pairs can be sent to every task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import extended
-from parley.llm.packing import ODD_SPACE, Ids
+from parley.llm.packing import ALIKE, ODD_SPACE, Ids
 from parley.llm.token_counts import SPACE_SIGN
 from parley.session import settle
 
-#: Words and windows remembered at once in a task; longer ones are worked out each time.
-REMEMBERED, REMEMBERED_CHARS, REMEMBERED_TOKENS = 120_000, 64, 64
-#: Bytes of groups in one batch handed back.
-SENT = 8 << 20
+#: Windows remembered at once in a task, and the tokens of the longest that is.
+REMEMBERED, REMEMBERED_TOKENS = 100_000, 64
+#: Bytes of texts tokenized together, and of groups in one batch handed back.
+TOGETHER, SENT = 1 << 18, 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,17 +41,47 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
+class Left:
+    """Ids of space + text under the byte-level tokenizer, special tokens read as plain text.
+
+    The split pattern begins a new token at every space before a visible
+    character. Where the second library reads the pattern alike, it encodes the
+    whole text; else the words it may read in another way are encoded by the
+    first one, each with its space.
+    """
+
+    def __init__(self, json_file: str, ranks_file: str | None) -> None:
+        self.ids = Ids(json_file, ranks_file)
+        self.ids.tokenizer.encode_special_tokens = True
+        self.fast = self.ids.fast
+        # Without a normalizer a byte-level tokenizer spells every text.
+        self.exact = self.ids.tokenizer.normalizer is None
+
+    def slow(self, text: str) -> list[int]:
+        return self.ids.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.fast is not None and ALIKE(text):
+            return np.asarray(self.fast.encode_to_numpy(" " + text), np.uint32)
+        if self.fast is None or text[:1].isspace() or ODD_SPACE.search(text):
+            return np.array(self.slow(" " + text), np.uint32)
+        out: list[int] = []
+        for alike, words in groupby(text.split(" "), lambda w: ALIKE(w) is not None):
+            spaced = " " + " ".join(words)
+            out += self.fast.encode_ordinary(spaced) if alike else self.slow(spaced)
+        return np.array(out, np.uint32)
+
+
 class Pair:
-    """Both tokenizers, the bytes of their tokens, and what a task remembers."""
+    """Both tokenizers, the bytes of their tokens, and the windows a task remembers."""
 
     def __init__(self, json_file: str, ranks_file: str | None, model_file: str) -> None:
         import sentencepiece
 
-        self.left = Ids(json_file, ranks_file)
-        self.left.tokenizer.encode_special_tokens = True
+        self.left = Left(json_file, ranks_file)
         self.right = sentencepiece.SentencePieceProcessor(model_file=model_file)
         letters = byte_letters()
-        vocabulary = self.left.tokenizer.get_vocab(with_added_tokens=True)
+        vocabulary = self.left.ids.tokenizer.get_vocab(with_added_tokens=True)
         a: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
@@ -59,101 +90,77 @@ class Pair:
         self.bytes = a, b
         self.lengths = [np.array([len(t) for t in tokens], np.int64) for tokens in (a, b)]
         self.marked = [np.array([t[:1] == b" " for t in tokens]) for tokens in (a, b)]
-        self.words = _Words(self)
-        self.windows = _Windows(self)
-        one = self.right.encode("a")
-        self.by_word = (
-            not any(SPACE_SIGN in p[1:] and p.strip(SPACE_SIGN) for p in pieces) and self.right.encode("a a") == one + one and self.right.encode("b a")[-len(one) :] == one
-        )
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of space + text and of text, as packed little-endian 32-bit numbers.
-
-        No token of either reaches from a word into the space behind it, so a
-        text of single spaces is the ids of its words, each looked up with the
-        space before it; any other text is encoded as a whole.
-        """
-        if not self.by_word or SPACE_SIGN in text or text[:1].isspace() or ODD_SPACE.search(text):
-            return self.whole(text)
-        words = [self.words[w] for w in text.split(" ")]
-        return b"".join([w[0] for w in words]), b"".join([w[1] for w in words])
-
-    def whole(self, text: str) -> tuple[bytes, bytes]:
-        return self.left.encode(" " + text), np.array(self.right.encode(text), "<u4").tobytes()
-
-    def aligned(self, text: str) -> tuple[int, int, list[str], list[bytes]]:
-        """Number of tokens of both, and groups and links of each window; nothing where a side does not spell the text."""
-        none = 0, 0, [], []
-        if not text:
-            return none
-        packed = self.encode(text)
-        ids = [np.frombuffer(p, "<u4") for p in packed]
-        raw = b" " + text.encode("utf-8", "surrogatepass")
-        if any(b"".join(map(tokens.__getitem__, i.tolist())) != raw for tokens, i in zip(self.bytes, ids)):
-            return none
-        starts, places = [], []
-        for i, lengths, marked in zip(ids, self.lengths, self.marked):
-            at = np.flatnonzero(marked[i[1:]]) + 1
-            starts.append(np.cumsum(lengths[i])[at - 1])
-            places.append(at)
-        if not np.array_equal(*starts):
-            _, x, y = np.intersect1d(*starts, assume_unique=True, return_indices=True)
-            places = [places[0][x], places[1][y]]
-        edges = [[0, *(4 * p).tolist(), len(k)] for p, k in zip(places, packed)]
+        # How a token is written: within its group, at the end of its side, and, for the second side, at the end of its window.
+        self.written = [f"{i}{sign}" for size, signs in ((len(a), ",|"), (len(b), ",;\n")) for sign in signs for i in range(size)]
+        self.windows: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
+
+    def aligned(self, texts: list[str]) -> list[tuple[int, int, str, bytes]]:
+        """For each text the number of tokens of both, its groups and its links; nothing where a side does not spell the text."""
+        spelled, ids = [], ([], [])
+        for k, (text, right) in enumerate(zip(texts, self.right.encode(texts, num_threads=1))):
+            raw = b" " + text.encode("utf-8", "surrogatepass")
+            if text and b"".join(map(self.bytes[1].__getitem__, right)) == raw:
+                left = self.left(text)
+                if int(self.lengths[0][left].sum()) == len(raw) and (self.left.exact or b"".join(map(self.bytes[0].__getitem__, left.tolist())) == raw):
+                    spelled.append(k)
+                    ids[0].append(left)
+                    ids[1].append(np.array(right, np.uint32))
+        out = [(0, 0, "", b"")] * len(texts)
+        if not spelled:
+            return out
+        flat, begins, starts, at = [np.concatenate(i) for i in ids], [], [], []
+        for tokens, lengths, marked, parts in zip(flat, self.lengths, self.marked, ids):
+            first = np.cumsum([0, *map(len, parts)])
+            begin = np.cumsum(lengths[tokens]) - lengths[tokens]
+            opens = marked[tokens]
+            opens[first[:-1]] = True
+            place = np.flatnonzero(opens)
+            begins.append(first)
+            at.append(place)
+            starts.append(begin[place])
+        # Windows begin where a token with a space, or a text, begins on both sides at the same byte.
+        _, x, y = np.intersect1d(*starts, assume_unique=True, return_indices=True)
+        edges = [np.append(place[i], len(tokens)) for place, i, tokens in zip(at, (x, y), flat)]
+        packed = [tokens.astype("<u4").tobytes() for tokens in flat]
+        cuts = [(4 * e).tolist() for e in edges]
         a, b = packed
-        found = self.windows
-        met = [found[a[i:j], b[m:n]] for i, j, m, n in zip(edges[0], edges[0][1:], edges[1], edges[1][1:])]
-        return len(ids[0]), len(ids[1]), [w[0] for w in met], [w[1] for w in met]
-
-    def align_window(self, a: list[int], b: list[int]) -> tuple[str, bytes]:
-        """Groups of a window, and the code of the pair of tokens that end each."""
-        groups, links, i, j = [], [], 0, 0
-        while i < len(a):
-            first, second = i, j
-            x, y = int(self.lengths[0][a[i]]), int(self.lengths[1][b[j]])
-            while x != y:
-                if x < y:
-                    i += 1
-                    x += int(self.lengths[0][a[i]])
-                else:
-                    j += 1
-                    y += int(self.lengths[1][b[j]])
-            links.append(a[i] * len(self.bytes[1]) + b[j])
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[first:i])) + "|" + ",".join(map(str, b[second:j])))
-        return ";".join(groups), np.array(links, "<i8").tobytes()
-
-
-class _Words(dict):
-    """Word to the ids of both tokenizers, with a space before it."""
-
-    def __init__(self, pair: Pair) -> None:
-        super().__init__()
-        self.pair = pair
-
-    def __missing__(self, word: str) -> tuple[bytes, bytes]:
-        ids = self.pair.whole(word)
-        if len(word) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-class _Windows(dict):
-    """Packed ids of both sides of a window to its groups and links."""
-
-    def __init__(self, pair: Pair) -> None:
-        super().__init__()
-        self.pair = pair
-
-    def __missing__(self, key: tuple[bytes, bytes]) -> tuple[str, bytes]:
-        found = self.pair.align_window(*[np.frombuffer(k, "<u4").tolist() for k in key])
-        if len(key[0]) + len(key[1]) <= 4 * REMEMBERED_TOKENS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[key] = found
-        return found
+        keys = [(a[i:j], b[m:n]) for i, j, m, n in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])]
+        met = list(map(self.windows.get, keys))
+        new = {key: n for n, (key, found) in enumerate(zip(keys, met)) if found is None}
+        if new:
+            made = dict(zip(new, self.align_windows(flat, edges, np.fromiter(new.values(), np.int64, len(new)))))
+            met = [made[key] if found is None else found for key, found in zip(keys, met)]
+            if len(self.windows) + len(made) > REMEMBERED:
+                self.windows.clear()
+            self.windows.update(islice(((k, v) for k, v in made.items() if len(k[0]) + len(k[1]) <= 4 * REMEMBERED_TOKENS), REMEMBERED))
+        window = np.searchsorted(edges[0], begins[0]).tolist()
+        for n, k in enumerate(spelled):
+            groups = met[window[n] : window[n + 1]]
+            out[k] = len(ids[0][n]), len(ids[1][n]), ";".join([g for g, _ in groups]), b"".join([c for _, c in groups])
+        return out
+
+    def align_windows(self, flat: list[np.ndarray], edges: list[np.ndarray], chosen: np.ndarray) -> list[tuple[str, bytes]]:
+        """Groups of each chosen window, and the codes of the pairs of tokens that end them; all windows in one go."""
+        sides = []
+        for tokens, edge in zip(flat, edges):
+            sizes = edge[chosen + 1] - edge[chosen]
+            until = np.cumsum(sizes)
+            sides.append((tokens[np.repeat(edge[chosen] - (until - sizes), sizes) + np.arange(until[-1])].astype(np.int64), until))
+        (a, a_until), (b, b_until) = sides
+        # Both sides of a window spell the same bytes, so ends can be compared across all windows.
+        _, a_end, b_end = np.intersect1d(np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b]), assume_unique=True, return_indices=True)
+        first, second = len(self.bytes[0]), len(self.bytes[1])
+        codes = (a[a_end] * second + b[b_end]).astype("<i8").tobytes()
+        a_sign, b_sign = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_sign[a_end], b_sign[b_end] = 1, 1
+        b_sign[b_until - 1] = 2
+        order = np.empty(len(a) + len(b), np.int64)
+        a_group, b_group = np.cumsum(a_sign) - a_sign, np.cumsum(b_sign > 0) - (b_sign > 0)
+        order[np.arange(len(a)) + np.append(0, b_end + 1)[a_group]] = a + a_sign * first
+        order[np.arange(len(b)) + (a_end + 1)[b_group]] = 2 * first + b + b_sign * second
+        groups = "".join(map(self.written.__getitem__, order.tolist())).split("\n")
+        cuts = (8 * np.append(0, np.searchsorted(a_end, a_until - 1, side="right"))).tolist()
+        return [(g, codes[i:j]) for g, i, j in zip(groups, cuts, cuts[1:])]
 
 
 def align(docs: DataFrame, json_file: str, ranks_file: str | None, model_file: str, text: str = "text") -> DataFrame:
@@ -186,17 +193,22 @@ def align(docs: DataFrame, json_file: str, ranks_file: str | None, model_file: s
 
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text))
-            rows, first, size = [], 0, 0
-            for n in range(batch.num_rows):
-                a, b, groups, links = pair.aligned(texts[n].as_py() or "")
-                codes, shown = b"".join(links), ";".join(groups)
-                rows.append((a, b, shown.count("|"), len(codes) // 8, shown, codes))
-                size += len(shown)
-                if size >= SENT:
-                    yield made_of(batch.slice(first, len(rows)), rows)
-                    rows, first, size = [], n + 1, 0
-            if rows:
-                yield made_of(batch.slice(first, len(rows)), rows)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, (int(sizes[at - 1]) if at else 0) + TOGETHER, side="right")))
+                part = batch.slice(at, end - at)
+                read = [t or "" for t in texts.slice(at, end - at).to_pylist()]
+                rows, first, size = [], 0, 0
+                for n, (a, b, shown, codes) in enumerate(pair.aligned(read)):
+                    rows.append((a, b, shown.count("|"), len(codes) // 8, shown, codes))
+                    size += len(shown)
+                    if size >= SENT:
+                        yield made_of(part.slice(first, len(rows)), rows)
+                        rows, first, size = [], n + 1, 0
+                if rows:
+                    yield made_of(part.slice(first, len(rows)), rows)
+                at = end
 
     found = given.mapInArrow(run, schema)
     return found.select(*[c for c in keep if c not in made], *[F.col(n).alias(c) for n, c in zip(names, made)])
