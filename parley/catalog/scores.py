@@ -147,7 +147,30 @@ def speaker_count_error(spark, sf):
     return scoring.speaker_counts(ref, hyp, ["recording_id"])
 
 
-@query("speaker_error_rates")
+# All distances of a recording's at most three speakers a side, and the cheapest
+# of all ways to match them; who stays unmatched costs all of its words.
+_SPEAKERS = f"""WITH
+    hyp_turns AS (SELECT 'c' || conv_id AS id, turn, 'other:Them ' || CASE WHEN turn % 5 = 4 THEN 9 ELSE length(role) END AS who, {d.DAMAGED} AS text FROM conversations),
+    refs AS (SELECT 'c' || conv_id AS id, role AS who, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY ALL),
+    hyps AS (SELECT id, who, string_agg(text, ' ' ORDER BY turn) AS text FROM hyp_turns GROUP BY ALL),
+    rt AS (SELECT id, who, {d.normal_text("text")} AS t, row_number() OVER (PARTITION BY id ORDER BY who) AS n FROM refs),
+    ht AS (SELECT id, who, {d.normal_text("text")} AS t, row_number() OVER (PARTITION BY id ORDER BY who) AS n FROM hyps),
+    counts AS (SELECT id, r.k AS ref_speakers, coalesce(h.k, 0) AS hyp_speakers, r.w AS ref_words, coalesce(h.w, 0) AS hyp_words
+               FROM (SELECT id, count(*) AS k, sum(len(t)) AS w FROM rt GROUP BY id) r
+               LEFT JOIN (SELECT id, count(*) AS k, sum(len(t)) AS w FROM ht GROUP BY id) h USING (id)),
+    dist AS (SELECT id, rt.n AS a, ht.n AS b, @W@ // (len(rt.t) + len(ht.t) + 1) AS e FROM rt JOIN ht USING (id)),
+    slots AS (SELECT id, a, b FROM counts CROSS JOIN (SELECT unnest([1, 2, 3]) AS a) CROSS JOIN (SELECT unnest([1, 2, 3]) AS b)),
+    costs AS (SELECT s.id, s.a, s.b, coalesce(e, len(rt.t), len(ht.t), 0) AS e FROM slots s LEFT JOIN dist USING (id, a, b)
+              LEFT JOIN rt ON rt.id = s.id AND rt.n = s.a LEFT JOIN ht ON ht.id = s.id AND ht.n = s.b),
+    ways AS (SELECT * FROM (VALUES (1, 2, 3), (1, 3, 2), (2, 1, 3), (2, 3, 1), (3, 1, 2), (3, 2, 1)) w(x, y, z)),
+    best AS (SELECT p.id, min(p.e + q.e + r.e) AS errors FROM ways JOIN costs p ON p.a = 1 AND p.b = x
+             JOIN costs q ON q.id = p.id AND q.a = 2 AND q.b = y JOIN costs r ON r.id = p.id AND r.a = 3 AND r.b = z GROUP BY p.id)
+    SELECT id AS recording_id, ref_speakers, hyp_speakers, hyp_speakers - ref_speakers AS speaker_count_error,
+           errors::BIGINT AS errors, ref_words::BIGINT AS ref_words, NULL::VARCHAR AS note,
+           CASE WHEN ref_words > 0 THEN errors / ref_words END AS cpwer FROM counts JOIN best USING (id)""".replace("@W@", _weights("rt.t", "ht.t"))
+
+
+@query("speaker_error_rates", _SPEAKERS)
 def speaker_error_rates(spark, sf):
     ref, hyp = _speaker_sides(Tables(spark, sf))
     return scoring.speaker_error_rate(ref, hyp, ["recording_id"])

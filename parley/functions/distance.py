@@ -1,13 +1,15 @@
 """Word edit distance between texts of single-blank separated tokens.
 
 Pairs go to Python in Arrow batches: a bit-parallel count, whose cost grows
-with n*m/64, and for the kinds of edits a table inside the diagonal band that
-the count proves wide enough. Whole strings cross to Python, which is far
-cheaper than arrays of strings.
+with n*m/64, and for the kinds of edits the part of the alignment table that
+the count proves wide enough, filled for all pairs of a batch together. Whole
+strings cross to Python, which is far cheaper than arrays of strings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -62,37 +64,95 @@ def bit_distance(a: list, b: list) -> int:
     return dist
 
 
-def edit_counts(ref: list, hyp: list) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) of a cheapest alignment.
+#: Cells of one step of ``batch_counts``: an antidiagonal of the bands of all its pairs.
+STEP_CELLS = 1 << 16
+
+
+def _groups(shapes: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Pairs (number, n, m, reach) in groups of like reach, whose bands fit into one step together; a wider band is alone."""
+    ordered = sorted(shapes, key=lambda s: (s[3], s[1] + s[2]))
+    group: list[tuple[int, int, int, int]] = []
+    for shape in ordered:
+        if group and ((shape[3] + 2) * (len(group) + 1) > STEP_CELLS or shape[3] > 8 + 1.5 * group[0][3]):
+            yield group
+            group = []
+        group.append(shape)
+    if group:
+        yield group
+
+
+def batch_counts(pairs: list[tuple[list, list]]) -> np.ndarray:
+    """(substitutions, deletions, insertions) of a cheapest alignment of each pair.
 
     Among equally cheap alignments the one with fewest substitutions counts.
+    A wavefront of antidiagonals runs through the alignment tables of many
+    pairs at once, as an array of pairs by diagonals; the band around the main
+    diagonal is as wide as the unit distance proves enough. An antidiagonal
+    needs the one before, whose diagonals have the other parity, and its own
+    diagonals' last cells, which are overwritten in place.
     """
-    a, b = _trim(ref, hyp)
-    n, m = len(a), len(b)
-    if not n or not m:
-        return 0, n, m
-    codes = {t: k for k, t in enumerate(dict.fromkeys(a + b))}
-    x = np.array([codes[t] for t in a])
-    y = np.array([codes[t] for t in b])
-    gap = n + m + 1  # one edit outweighs any number of substitutions
-    # No cheapest alignment strays further from the diagonal than its edits.
-    reach = bit_distance(a, b)
-    ramp = np.arange(m + 1, dtype=np.int64) * gap
-    row = np.full(m + 1, gap * gap, dtype=np.int64)
-    row[: reach + 1] = ramp[: reach + 1]
-    for i in range(n):
-        lo, hi = max(0, i + 1 - reach), min(m, i + 1 + reach)
-        best = row[lo : hi + 1] + gap
-        start = max(lo, 1)
-        step = row[start - 1 : hi] + np.where(y[start - 1 : hi] == x[i], 0, gap + 1)
-        best[start - lo :] = np.minimum(best[start - lo :], step)
-        row[lo : hi + 1] = np.minimum.accumulate(best - ramp[lo : hi + 1]) + ramp[lo : hi + 1]
-        if lo:
-            row[lo - 1] = gap * gap
-    edits, subs = divmod(int(row[-1]), gap)
-    indels = edits - subs
-    dels = (indels + n - m) // 2
-    return subs, dels, indels - dels
+    out = np.zeros((len(pairs), 3), np.int64)
+    trimmed, shapes = [], []
+    for k, (ref, hyp) in enumerate(pairs):
+        a, b = _trim(ref, hyp)
+        trimmed.append((a, b))
+        if not a or not b:
+            out[k] = 0, len(a), len(b)
+        else:
+            shapes.append((k, len(a), len(b), bit_distance(a, b)))
+    for group in _groups(shapes):
+        group.sort(key=lambda s: -(s[1] + s[2]))
+        reach = max(s[3] for s in group)
+        reach += reach % 2
+        n_most, m_most = max(s[1] for s in group), max(s[2] for s in group)
+        pad = reach + 2
+        x = np.full((len(group), n_most + 2 * pad), -1, np.int32)  # backwards, as rows fall where columns rise
+        y = np.full((len(group), m_most + n_most + 2 * pad), -2, np.int32)
+        most = 0
+        for p, (k, n, m, _) in enumerate(group):
+            codes: dict = {}
+            a, b = ([codes.setdefault(t, len(codes)) for t in side] for side in trimmed[k])
+            x[p, pad + n_most - n : pad + n_most] = a[::-1]
+            y[p, pad : pad + m] = b
+            most = max(most, n + m + 1)
+        small = most * (most + 1) < 1 << 29
+        kind = np.int32 if small else np.int64
+        gap, far = kind(most), kind((1 << 29) if small else (1 << 60))  # one edit outweighs any number of substitutions
+        change = gap + kind(1)
+        even, odd = np.full((len(group), reach + 1), far, kind), np.full((len(group), reach + 2), far, kind)
+        even[:, reach // 2] = 0
+        active = len(group)
+        for d in range(1, group[0][1] + group[0][2] + 1):
+            while group[active - 1][1] + group[active - 1][2] < d:
+                active -= 1
+            if d % 2:
+                width, first = reach, 1 - reach
+                now, low, high = odd[:active, 1:-1], even[:active, :-1], even[:active, 1:]
+            else:
+                width, first = reach + 1, -reach
+                now, low, high = even[:active], odd[:active, :-1], odd[:active, 1:]
+            if width:
+                row, column = n_most - (d - first) // 2 + pad, (d + first) // 2 - 1 + pad
+                changed = x[:active, row : row + width] != y[:active, column : column + width]
+                kept = changed * change
+                kept += now
+                step = np.minimum(low, high)
+                step += gap
+                np.minimum(kept, step, out=now)
+            for p in range(active - 1, -1, -1):
+                k, n, m, _ = group[p]
+                if n + m != d:
+                    break
+                edits, subs = divmod(int(now[p, (m - n - first) // 2]), int(gap))
+                indels = edits - subs
+                dels = (indels + n - m) // 2
+                out[k] = subs, dels, indels - dels
+    return out
+
+
+def edit_counts(ref: list, hyp: list) -> tuple[int, int, int]:
+    """``batch_counts`` of one pair."""
+    return tuple(batch_counts([(ref, hyp)])[0].tolist())
 
 
 @F.pandas_udf(LongType())
@@ -105,8 +165,8 @@ def _distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 
 @F.pandas_udf(_COUNTS)
 def _counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    got = [edit_counts(r.split(), h.split()) for r, h in zip(ref, hyp)]
-    return pd.DataFrame(got, columns=["substitutions", "deletions", "insertions"], dtype="int64")
+    got = batch_counts([(r.split(), h.split()) for r, h in zip(ref, hyp)])
+    return pd.DataFrame(got, columns=["substitutions", "deletions", "insertions"])
 
 
 def counts(ref: Column, hyp: Column) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from parley.functions import distance, text
 from parley.functions.flow import hold
 from parley.operators.ordered import in_order, row_chunk
+from parley.session import settle
 
 PART_SECS = 3600.0
 PART_TURNS = 10_000
@@ -124,10 +125,14 @@ def speaker_distances(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFr
     )
 
 
-def best_assignment(cost: list[list[float]]) -> float:
-    """Least total cost of a one-to-one assignment in a square matrix."""
+def assignment(cost: list[list[int]]) -> tuple[list[int], list[int], list[int]]:
+    """Cheapest one-to-one assignment in a square matrix: the column of each row, and the prices of rows and columns.
+
+    Shortest augmenting paths. No cell costs less than its row's and column's
+    price together, and cells of the assignment cost just that.
+    """
     n = len(cost)
-    row_of, u, v = [0] * (n + 1), [0.0] * (n + 1), [0.0] * (n + 1)
+    row_of, u, v = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
     for i in range(1, n + 1):
         row_of[0], j = i, 0
         best, seen, back = [float("inf")] * (n + 1), [False] * (n + 1), [0] * (n + 1)
@@ -153,38 +158,133 @@ def best_assignment(cost: list[list[float]]) -> float:
                 break
         while j:
             row_of[j], j = row_of[back[j]], back[j]
-    return sum(cost[row_of[k] - 1][k - 1] for k in range(1, n + 1))
+    column = [0] * n
+    for k in range(1, n + 1):
+        column[row_of[k] - 1] = k - 1
+    return column, u[1:], v[1:]
+
+
+def best_assignment(cost: list[list[int]]) -> int:
+    """Least total cost of a one-to-one assignment in a square matrix."""
+    return sum(row[k] for row, k in zip(cost, assignment(cost)[0]))
+
+
+def _matrix(cells: list) -> tuple[list[list[int]], dict[tuple[int, int], object]]:
+    """Costs of a recording's speakers against each other, and the cell behind each entry; an unmatched speaker costs all of its words."""
+    refs, hyps = {}, {}
+    for c in cells:
+        refs.setdefault(c["ref_key"], (len(refs), c["ref_words"]))
+        hyps.setdefault(c["hyp_key"], (len(hyps), c["hyp_words"]))
+    n = max(len(refs), len(hyps))
+    cost = [[0] * n for _ in range(n)]
+    for i, words in refs.values():
+        cost[i][len(hyps) :] = [words] * (n - len(hyps))
+    for j, words in hyps.values():
+        for i in range(len(refs), n):
+            cost[i][j] = words
+    at = {}
+    for c in cells:
+        i, j = refs[c["ref_key"]][0], hyps[c["hyp_key"]][0]
+        cost[i][j] = c["least"] if c["errors"] is None else c["errors"]
+        at[i, j] = c
+    return cost, at
+
+
+_PAIRS = ArrayType(StructType().add("ref_key", StringType()).add("hyp_key", StringType()))
+
+
+def _pair(cell) -> dict:
+    return {"ref_key": cell["ref_key"], "hyp_key": cell["hyp_key"]}
+
+
+@F.pandas_udf(_PAIRS)
+def _promising(cells: pd.Series) -> pd.Series:
+    """Pairs of the assignment that is cheapest by what the pairs cost at least."""
+    out = []
+    for rows in cells:
+        cost, at = _matrix(list(rows))
+        out.append([_pair(at[ij]) for ij in enumerate(assignment(cost)[0]) if ij in at])
+    return pd.Series(out)
+
+
+@F.pandas_udf(_PAIRS)
+def _possible(cells: pd.Series) -> pd.Series:
+    """Pairs without a known distance that may still be in a cheaper assignment than the best of known ones."""
+    out = []
+    for rows in cells:
+        rows = list(rows)
+        cost, at = _matrix(rows)
+        known, _ = _matrix([c if c["errors"] is not None else {**_pair(c), "ref_words": c["ref_words"], "hyp_words": c["hyp_words"], "least": c["ref_words"] + c["hyp_words"], "errors": None} for c in rows])
+        bound = best_assignment(known)
+        column, u, v = assignment(cost)
+        least = sum(row[k] for row, k in zip(cost, column))
+        out.append([_pair(c) for (i, j), c in at.items() if c["errors"] is None and least + cost[i][j] - u[i] - v[j] < bound])
+    return pd.Series(out)
 
 
 @F.pandas_udf(LongType())
 def _assign(cells: pd.Series) -> pd.Series:
-    """Total errors per recording from its list of speaker pairs."""
+    """Total errors per recording from its speaker pairs; those without a distance are in no cheapest assignment."""
     out = []
     for rows in cells:
-        refs = {r["ref_key"]: r["ref_words"] for r in rows}
-        hyps = {r["hyp_key"]: r["hyp_words"] for r in rows}
-        ri, hi = {k: i for i, k in enumerate(refs)}, {k: i for i, k in enumerate(hyps)}
-        n = max(len(ri), len(hi))
-        cost = [[0.0] * n for _ in range(n)]
-        # An unmatched speaker costs all of its words.
-        for k, i in ri.items():
-            for j in range(len(hi), n):
-                cost[i][j] = refs[k]
-        for k, j in hi.items():
-            for i in range(len(ri), n):
-                cost[i][j] = hyps[k]
-        for r in rows:
-            cost[ri[r["ref_key"]]][hi[r["hyp_key"]]] = r["errors"]
-        out.append(round(best_assignment(cost)))
+        cost, _ = _matrix([{**_pair(c), "ref_words": c["ref_words"], "hyp_words": c["hyp_words"], "least": c["ref_words"] + c["hyp_words"], "errors": c["errors"]} for c in list(rows)])
+        out.append(best_assignment(cost))
     return pd.Series(out, dtype="Int64")
 
 
+def speaker_bounds(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFrame:
+    """What every pair of speakers of a recording costs at least: keys, ref_key, hyp_key, ref_words, hyp_words, least.
+
+    Words that both have, counted as often as both have them, are all that an
+    alignment can keep. Counts of words meet by a join; texts do not.
+    """
+
+    def side(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        named = df.select(*keys, F.col("speaker_key").alias(f"{name}_key"), "text")
+        words = named.select(*keys, f"{name}_key", F.explode(F.split("text", " ")).alias("_w")).filter("_w <> ''")
+        return named.select(*keys, f"{name}_key", distance.words(F.col("text")).alias(f"{name}_words")), words.groupBy(*keys, f"{name}_key", "_w").agg(
+            F.count("*").alias(f"_{name}_n")
+        )
+
+    (refs, ref_bags), (hyps, hyp_bags) = side(ref, "ref"), side(hyp, "hyp")
+    shared = ref_bags.join(hyp_bags, [*keys, "_w"]).groupBy(*keys, "ref_key", "hyp_key").agg(F.sum(F.least("_ref_n", "_hyp_n")).alias("_s"))
+    cells = refs.join(hyps, keys).join(shared, [*keys, "ref_key", "hyp_key"], "left")
+    least = F.greatest("ref_words", "hyp_words") - F.coalesce("_s", F.lit(0))
+    return cells.select(*keys, "ref_key", "hyp_key", "ref_words", "hyp_words", least.alias("least"))
+
+
+def needed_distances(ref: DataFrame, hyp: DataFrame, keys: list[str]) -> DataFrame:
+    """All pairs of speakers with their bounds, and ``errors`` for those that the best assignment can need.
+
+    First the pairs of the assignment that is cheapest by the lower bounds are
+    aligned; their total is a bound from above. By the prices of the bounded
+    assignment, a pair that cannot be part of a cheaper one is left out; the
+    others are aligned too. Distances of a recording of many speakers are
+    dealt to tasks pair by pair.
+    """
+    spark = ref.sparkSession
+    pair = [*keys, "ref_key", "hyp_key"]
+    cell = F.struct("ref_key", "hyp_key", "ref_words", "hyp_words", "least", "errors")
+    texts = [d.select(*keys, F.col("speaker_key").alias(f"{n}_key"), F.col("text").alias(f"_{n}")) for d, n in ((ref, "ref"), (hyp, "hyp"))]
+
+    def aligned(cells: DataFrame, choose) -> DataFrame:
+        wanted = cells.groupBy(*keys).agg(F.collect_list(cell).alias("_cells")).select(*keys, F.explode(choose("_cells")).alias("_p"))
+        wanted = wanted.select(*keys, "_p.ref_key", "_p.hyp_key")
+        both = wanted.join(texts[0], [*keys, "ref_key"]).join(texts[1], [*keys, "hyp_key"]).repartition(*pair)
+        found = settle(spark, both.select(*pair, distance.token_distance(F.col("_ref"), F.col("_hyp")).alias("_found")), "distances")
+        return cells.join(found, pair, "left").withColumn("errors", F.coalesce("errors", "_found")).drop("_found")
+
+    bounds = settle(spark, speaker_bounds(ref, hyp, keys).withColumn("errors", F.lit(None).cast("long")), "bounds")
+    return aligned(aligned(bounds, _promising), _possible)
+
+
 def speaker_error_rate(
     ref: DataFrame, hyp: DataFrame, keys: list[str], max_speakers: int | None = None
 ) -> DataFrame:
     """Error rate under the best speaker assignment.
 
-    All recordings are scored. With ``max_speakers``, those with more speakers
+    All recordings are scored, and only pairs of speakers that the assignment
+    can need are aligned (``needed_distances``). With ``max_speakers``, those with more speakers
     on a side get NULL and a note instead, and their pairs are not built. A
     side without speakers leaves all words of the other as errors.
     """
@@ -203,9 +303,11 @@ def speaker_error_rate(
     )
     most = F.greatest("ref_speakers", "hyp_speakers")
     fits = F.lit(True) if max_speakers is None else most <= max_speakers
+    # Texts are read for the bounds and twice for distances.
+    ref, hyp = (settle(d.sparkSession, d.select(*keys, "speaker_key", F.coalesce("text", F.lit("")).alias("text")), "speakers") for d in (ref, hyp))
     if max_speakers is not None:
         ref = ref.join(totals.filter(fits).select(*keys), keys, "left_semi")
-    per_call = speaker_distances(ref, hyp, keys).groupBy(*keys).agg(
+    per_call = needed_distances(ref, hyp, keys).groupBy(*keys).agg(
         F.collect_list(F.struct("ref_key", "hyp_key", "ref_words", "hyp_words", "errors")).alias("_cells")
     )
     scored = totals.join(per_call.select(*keys, _assign("_cells").alias("_errors")), keys, "left")

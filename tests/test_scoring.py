@@ -185,3 +185,72 @@ def test_windows_of_short_texts(spark):
     own = alignment.shingles(docs, "id", F.col("t"), range(1, 6), own=True).groupBy("id").count().collect()
     assert {r.id: r["count"] for r in own} == {1: 1, 2: 2}
     assert alignment.shingles(docs, "id", F.col("t"), (2, 5)).count() == 1 + 5 + 2
+
+
+def test_needed_distances_give_the_best_of_all_assignments(spark):
+    """Up to five speakers a side against all permutations, with fewer pairs aligned than there are."""
+    rng = random.Random(21)
+    rows = {"ref": [], "hyp": []}
+    for r in range(25):
+        voices = [[f"{rng.choice('abcdefgh')}{rng.randrange(4)}" for _ in range(rng.randrange(0, 25))] for _ in range(rng.randrange(1, 6))]
+        rows["ref"] += [(f"r{r}", f"s{k}", " ".join(v)) for k, v in enumerate(voices)]
+        heard = [[w for w in v if rng.random() > 0.2] for v in voices[: rng.randrange(1, 6)]] + [["uh"]] * rng.randrange(0, 2)
+        rng.shuffle(heard)
+        rows["hyp"] += [(f"r{r}", f"h{k}", " ".join(v)) for k, v in enumerate(heard)]
+    ref, hyp = (spark.createDataFrame(rows[s], "recording_id string, speaker_key string, text string").repartition(3) for s in ("ref", "hyp"))
+    got = {r.recording_id: r.errors for r in scoring.speaker_error_rate(ref, hyp, ["recording_id"]).collect()}
+    total = 0
+    for r in range(25):
+        a, b = ([t.split() for k, _, t in rows[s] if k == f"r{r}"] for s in ("ref", "hyp"))
+        total += len(a) * len(b)
+        n = max(len(a), len(b))
+        a, b = a + [[]] * (n - len(a)), b + [[]] * (n - len(b))
+        cost = [[table(x, y)[0] for y in b] for x in a]
+        assert got[f"r{r}"] == min(sum(cost[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+    cells = scoring.needed_distances(ref, hyp, ["recording_id"]).collect()
+    assert len(cells) == total
+    assert sum(c.errors is not None for c in cells) < 0.6 * total
+    assert all(c.least <= c.errors for c in cells if c.errors is not None)
+
+
+def test_documents_against_the_table(spark, tmp_path):
+    """The query over whole documents against a table filled cell by cell."""
+    import re
+
+    from parley.catalog import QUERIES
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "b", "C,", "d-e", "[noise]", "ok", "it's", "x"]) for _ in range(n)) for n in (0, 1, 2, 7, 30, 90, 150)] + [None, "", "one\ntwo\tthree " * 25]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def damage(text, mode):
+        out = []
+        for i, w in enumerate(w for w in re.split("[ \t\n\r]+", text) if w):
+            out += [] if mode == 0 and i % 7 == 3 else ["zzz"] if mode == 1 and i % 5 == 2 else [w, w] if mode == 2 and i % 6 == 1 else [w]
+        return " ".join(out)
+
+    def normal(text):
+        text = re.sub(r"\[[a-z]+\]", " ", text.lower())
+        words = re.sub(r"[^a-z'-]+", " ", text).split()
+        return ["okay" if w == "ok" else w for w in words]
+
+    found = {r.doc_id: r for r in QUERIES["document_error_rates"](spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        if text is None:
+            assert found[k].ref_words == 0 and found[k].wer_normalized is None
+            continue
+        hyp = damage(text, k % 3)
+        (edits, subs), (raw, _) = table(normal(text), normal(hyp)), table(text.split(), hyp.split())
+        r = found[k]
+        assert (r.errors, r.substitutions, r.raw_errors, r.ref_words, r.hyp_words) == (edits, subs, raw, len(normal(text)), len(normal(hyp))), k
+
+
+def test_wide_and_narrow_bands_in_one_batch():
+    rng = random.Random(31)
+    pairs = []
+    for _ in range(150):
+        a = [rng.randrange(6) for _ in range(rng.randrange(0, 60))]
+        b = [w for w in a if rng.random() > rng.choice((0.02, 0.3))] if rng.random() < 0.7 else [rng.randrange(6) for _ in range(rng.randrange(0, 60))]
+        pairs.append((a, b))
+    for (a, b), (s, d, i) in zip(pairs, distance.batch_counts(pairs).tolist()):
+        assert (s + d + i, s) == table(a, b) and len(a) - d + i == len(b)
