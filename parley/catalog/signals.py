@@ -12,6 +12,8 @@ from parley.adapters.tables import Tables
 from parley.catalog.registry import query
 from parley.functions import maths
 from parley.operators import sessions, signals
+from parley.operators.ordered import in_order
+from parley.session import scratch
 from parley.sources import wav
 
 HOUR = 3_600_000
@@ -305,24 +307,27 @@ def downmixed_tracks(spark, sf):
 
 @query(
     "wav_ingest",
-    """WITH p AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings),
-    q AS (SELECT vec_id, i, trunc(greatest(-1, least(1, x::DOUBLE)) * 32767) / 32768 AS v FROM p)
-    SELECT '/rec/v' || vec_id || '.wav' AS path, 16000 AS sample_rate, (i // 2) // 10 AS frame_no,
+    """WITH p AS (SELECT vec_id // 50 AS rec, vec_id % 50 * 64 AS base, unnest(embedding) AS x, unnest(range(64)) AS k FROM embeddings),
+    q AS (SELECT rec, base + k AS i, trunc(greatest(-1, least(1, x::DOUBLE)) * 32767) / 32768 AS v FROM p)
+    SELECT '/rec/v' || rec || '.wav' AS path, 16000 AS sample_rate, (i // 2) // 10 AS frame_no,
            count(*) FILTER (i % 2 = 0) AS mic_samples,
            round(sum(v) FILTER (i % 2 = 0), 5) AS mic_total, round(sum(v) FILTER (i % 2 = 1), 5) AS tap_total
     FROM q GROUP BY ALL""",
 )
 def wav_ingest(spark, sf):
-    """Vectors written as two-track 16-bit files, then decoded into frames."""
+    """Vectors, fifty to a recording, written as two-track 16-bit files and read back in byte ranges."""
     @F.pandas_udf(BinaryType())
     def to_wav(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: wav.encode_pcm16(np.asarray(x)[0::2], np.asarray(x)[1::2], 16_000))
+        return v.map(lambda x: wav.encode_pcm16(np.concatenate(x)[0::2], np.concatenate(x)[1::2], 16_000))
 
     e = Tables(spark, sf).raw("embeddings")
-    files = e.select(F.concat(F.lit("/rec/v"), "vec_id", F.lit(".wav")).alias("path"), to_wav("embedding").alias("content"))
-    fr = wav.frames_of(files, 10)
+    parts = e.groupBy(F.floor(F.col("vec_id") / 50).alias("rec")).agg(in_order(F.col("embedding"), F.col("vec_id")).alias("parts"))
+    files = parts.select(F.concat(F.lit("v"), F.col("rec").cast("string"), F.lit(".wav")).alias("name"), to_wav("parts").alias("content"))
+    folder = scratch(spark, "recordings")
+    wav.write_files(files, folder).write.format("noop").mode("overwrite").save()
+    fr = wav.read_wav(spark, folder, 10, range_bytes=4096)
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double")), 5)
     return fr.select(
-        "path", "sample_rate", "frame_no", F.size("mic").cast("long").alias("mic_samples"),
+        F.concat(F.lit("/rec/"), F.substring_index("path", "/", -1)).alias("path"), "sample_rate", "frame_no", F.size("mic").cast("long").alias("mic_samples"),
         total("mic").alias("mic_total"), total("tap").alias("tap_total"),
     )

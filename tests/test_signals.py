@@ -105,6 +105,38 @@ def test_bad_files_become_error_rows(spark):
     assert [round(v, 3) for v in got["g"].mic] == [0.5, 0.25]
 
 
+@pytest.mark.parametrize("range_bytes", [64, 1000, 10**6])
+def test_long_files_are_read_in_ranges(spark, tmp_path, range_bytes):
+    """Whatever the ranges, frames are those of the whole file; a long file is many partitions."""
+    import struct
+
+    rng = np.random.default_rng(3)
+    left, right = rng.uniform(-1, 1, 2345), rng.uniform(-1, 1, 2345)
+    whole = wav.encode_pcm16(left, right, 16000)
+    odd = whole[:12] + b"LIST" + struct.pack("<I", 5) + b"hello\0" + whole[12:] + b"junk after the data"
+    mono = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 0, b"WAVE", b"fmt ", 16, 3, 1, 8000, 0, 4, 32, b"data", 4002) + left.astype("<f4").tobytes()[:4002]
+    files = {"a.wav": whole, "deep/b.wav": odd, "m.WAV": mono, "bad.wav": b"RIFFxxxxWAVEfmt ", "none.wav": b"", "text.txt": whole}
+    (tmp_path / "deep").mkdir()
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    df = wav.read_wav(spark, str(tmp_path), 100, range_bytes)
+    found = {}
+    for r in df.collect():
+        found.setdefault(r.path.split("/")[-1], []).append(r)
+    assert set(found) == {"a.wav", "b.wav", "m.WAV", "bad.wav", "none.wav"}
+    for name in ("a.wav", "b.wav", "m.WAV"):
+        _, mic, tap = wav.decode(files[name] if name in files else files["deep/b.wav"])
+        rows = sorted(found[name], key=lambda r: r.frame_no)
+        assert [r.frame_no for r in rows] == list(range(-(-len(tap) // 100)))
+        assert [x for r in rows for x in r.tap] == tap.tolist() and [x for r in rows for x in r.mic] == mic.tolist()
+    assert all(len(found[n]) == 1 and found[n][0].error for n in ("bad.wav", "none.wav"))
+    assert df.rdd.getNumPartitions() == sum(-(-max(len(c), 1) // range_bytes) for n, c in files.items() if n != "text.txt")
+
+
+def test_no_files_no_frames(spark, tmp_path):
+    assert wav.read_wav(spark, str(tmp_path), 10).count() == 0
+
+
 def test_regions_bridge_drop_and_cut(spark):
     on = [*range(0, 5), *range(6, 10), 20, *range(40, 75)]
     df = spark.createDataFrame([("r", i, 0.9) for i in on], "recording_id string, frame_no long, score double")
