@@ -75,13 +75,12 @@ def test_streaming_equals_batch(spark):
     end = max(r[1] for r in rows) + 1000
     path = scratch(spark, "edges")
     df = spark.createDataFrame(rows, SIGNAL).orderBy("ts")
-    last = spark.createDataFrame([("zz", end, 0, False), ("zz", end + 1, 1, False)], SIGNAL)
     third = end // 3
     for lo in range(0, end, third + 1):
         df.filter((F.col("ts") >= lo) & (F.col("ts") < lo + third + 1)).coalesce(1).write.mode("append").parquet(path)
-    last.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(SIGNAL).option("maxFilesPerTrigger", 1).parquet(path)
-    out = run.drain(spark, live.detect(stream, D, C, M), "test").collect()
+    rules = live.Rules(D, C, M)
+    out = run.drain(spark, live.detect(stream, rules), "test", finish=live.finish(rules)).collect()
     ended = sorted((r.key, r.started, r.ended, r.event == "finished") for r in out if r.event != "started")
     assert ended == sorted((k, s, e, keep) for k, v in want.items() for s, e, _, keep in v if e is not None)
     begun = sorted((r.key, r.started) for r in out if r.event == "started")
