@@ -216,6 +216,13 @@ def _provenance(t: Tables):
         F.when(k % 10 == 0, float("nan")).otherwise((k % 8) / 8.0).alias("threshold"),
         (k % 4).cast("int").alias("threads"),
         (k % 5 == 0).alias("diarize"),
+        F.when(k % 7 != 0, F.concat(F.lit("lang"), (k % 4).cast("string"))).alias("language"),
+        F.when(k % 4 == 1, "second").otherwise("first").alias("asr_engine"),
+        F.lit("cpu").alias("provider"),
+        F.concat(F.lit("model-"), (k % 6).cast("string")).alias("asr_artifact"),
+        ((k % 16) / 16.0).alias("vad_threshold"),
+        F.lit(0.25).alias("vad_min_silence"),
+        F.when(k % 2 == 0, F.lit("titan")).alias("embedding_model"),
     )
     return provenance.build(conf, "1.0")
 
@@ -223,22 +230,42 @@ def _provenance(t: Tables):
 @query(
     "provenance_documents",
     """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'live' ELSE 'batch' END AS mode, CASE WHEN o_orderkey % 3 = 0 THEN 'cloud' ELSE 'local' END AS backend,
-    CASE WHEN o_orderkey % 3 <> 0 THEN CASE WHEN o_orderkey % 10 = 0 THEN 'NaN' ELSE ((o_orderkey % 8) / 8.0::DOUBLE)::VARCHAR END END AS threshold,
+    CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 10 <> 0 THEN (o_orderkey % 8) / 8.0::DOUBLE END AS threshold,
+    CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 10 = 0 THEN 'NaN' END AS threshold_text,
     CASE WHEN o_orderkey % 3 = 0 THEN 'channel_identification' WHEN o_orderkey % 5 = 0 THEN 'channels+diarizer' ELSE 'channels' END AS attribution,
-    o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0 AS diarized FROM orders""",
+    o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0 AS diarized,
+    o_orderkey % 3 <> 0 AND o_orderkey % 10 <> 0 AS threshold_is_number,
+    CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0 THEN 'lang' || (o_orderkey % 4) END AS language,
+    CASE WHEN o_orderkey % 3 <> 0 THEN CASE WHEN o_orderkey % 4 = 1 THEN 'second' ELSE 'first' END || '/cpu/' || (o_orderkey % 4) || '/' || (o_orderkey % 5 = 0)::VARCHAR END AS engine,
+    CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 16) / 16.0::DOUBLE END AS vad_threshold, CASE WHEN o_orderkey % 3 <> 0 THEN 0.25::DOUBLE END AS vad_min_silence,
+    CASE WHEN o_orderkey % 3 <> 0 THEN 'model-' || (o_orderkey % 6) END AS asr_artifact, o_orderkey % 3 <> 0 AS has_vad,
+    CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'titan' ELSE 'local/speaker-embedding' END END AS embedding FROM orders""",
 )
 def provenance_documents(spark, sf):
     p = _provenance(Tables(spark, sf))
     get = lambda path, kind: F.try_variant_get("doc", path, kind)
     doc = p.withColumn("doc", F.parse_json("provenance"))
+    is_number = F.schema_of_variant(F.try_variant_get("doc", "$.made.configuration.threshold", "variant")) != "STRING"
     return doc.select(
         "o_orderkey",
         get("$.made.mode", "string").alias("mode"),
         get("$.made.backend", "string").alias("backend"),
-        get("$.made.configuration.threshold", "string").alias("threshold"),
+        F.when(is_number, get("$.made.configuration.threshold", "double")).alias("threshold"),
+        F.when(~is_number, get("$.made.configuration.threshold", "string")).alias("threshold_text"),
         get("$.made.configuration.speaker_attribution", "string").alias("attribution"),
         get("$.made.models.diarization.id", "string").isNotNull().alias("diarized"),
-    )
+        F.coalesce(is_number, F.lit(False)).alias("threshold_is_number"),
+        get("$.made.configuration.language", "string").alias("language"),
+        F.concat(
+            get("$.made.configuration.asr_engine", "string"), F.lit("/"), get("$.made.configuration.provider", "string"), F.lit("/"),
+            get("$.made.configuration.threads", "string"), F.lit("/"), get("$.made.configuration.diarize_far_end", "string"),
+        ).alias("engine"),
+        get("$.made.configuration.vad_threshold", "double").alias("vad_threshold"),
+        get("$.made.configuration.vad_min_silence_seconds", "double").alias("vad_min_silence"),
+        get("$.made.models.asr.artifact", "string").alias("asr_artifact"),
+        get("$.made.models.vad.id", "string").isNotNull().alias("has_vad"),
+        get("$.made.models.speaker_embedding.id", "string").alias("embedding"),
+    )
 
 
 @query(

@@ -461,7 +461,7 @@ _PLAN = f"""{REC},{d.JOBS},
 old AS (SELECT * FROM recordings WHERE updated_at < {_AT} - INTERVAL 30 DAY),
 ready AS (SELECT * FROM old WHERE {TERMINAL} AND k % 13 <> 5),
 plan AS (
-  SELECT id, 'delete_artifact' AS action, unnest(['/rec/' || id || '.wav', '/rec/' || id || '-clean.wav', audio_path || '.checkpoint.json', audio_path || '.staging.json']) AS path FROM ready
+  SELECT id, 'delete_artifact' AS action, unnest(['/rec/' || id || '.wav', '/rec/' || id || '-clean.wav', audio_path || '.checkpoint.json', audio_path || '.staging.json', audio_path || '.checkpoint.json.tmp*']) AS path FROM ready
   UNION ALL SELECT id, 'delete_row', NULL FROM ready WHERE updated_at < {_AT} - INTERVAL 90 DAY
   UNION ALL SELECT id, 'delete_stale_temps', audio_path || '.checkpoint.json.tmp*' FROM old WHERE NOT {TERMINAL}
   UNION ALL SELECT id::VARCHAR, 'delete_job', NULL FROM jobs WHERE state = 'failed' AND updated_at < {_AT} - INTERVAL 30 DAY)"""

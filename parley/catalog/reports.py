@@ -85,22 +85,22 @@ def pending_cells(spark, sf):
 
 
 def _echo_results(t: Tables):
-    """Two echo fixtures per run with some ratios missing or zero."""
-    r = t.results.filter("fixture IN ('click', 'view')")
+    """All fixtures of each run, two of them echo only, with some ratios missing or zero."""
+    r = t.results
     k = F.col("k")
     erle = F.struct(
         F.when(k % 5 == 0, 0.0).when(k % 7 != 0, F.col("wer_norm") * 10).alias("erle_db"),
         (F.col("wer_raw") * 3).alias("near_seg_snr_db"),
         F.when(k % 4 != 0, F.col("wer_norm") / 2).alias("near_correlation"),
     )
-    return r.select("run", F.when(F.col("fixture") == "click", "echoonly").otherwise("doubletalk").alias("fixture"), "ok", erle.alias("erle"))
+    return r.select("run", F.when(F.col("fixture").isin("click", "error"), "echoonly").otherwise("doubletalk").alias("fixture"), "ok", erle.alias("erle"))
 
 
 @query(
     "echo_run_table",
-    f"""WITH {d.RESULTS}, e AS (SELECT run, CASE WHEN fixture = 'click' THEN 'echoonly' ELSE 'doubletalk' END AS fixture,
+    f"""WITH {d.RESULTS}, e AS (SELECT run, CASE WHEN fixture IN ('click', 'error') THEN 'echoonly' ELSE 'doubletalk' END AS fixture,
       CASE WHEN k % 5 = 0 THEN 0 WHEN k % 7 <> 0 THEN wer_norm * 10 END AS erle, wer_raw * 3 AS snr, CASE WHEN k % 4 <> 0 THEN wer_norm / 2 END AS c
-      FROM results WHERE fixture IN ('click', 'view') AND coalesce(ok, FALSE)),
+      FROM results WHERE coalesce(ok, FALSE)),
     g AS (SELECT run, max(erle) FILTER (fixture = 'echoonly') AS eo, max(erle) FILTER (fixture = 'doubletalk') AS dt,
           max(snr) FILTER (fixture = 'doubletalk') AS sn, max(c) FILTER (fixture = 'doubletalk') AS co FROM e GROUP BY run)
     SELECT run, round(eo, 6) AS echo_only_erle, round(dt, 6) AS double_talk_erle, round(sn, 6) AS double_talk_snr, round(co, 6) AS double_talk_corr,
@@ -113,12 +113,12 @@ def echo_run_table(spark, sf):
 
 @query(
     "speaker_run_table",
-    f"""WITH {d.RESULTS} SELECT run, CASE WHEN k % 3 <> 0 THEN wer_norm END AS cpwer, 7 AS ref_speakers, (k % 20)::INTEGER AS hyp_speakers,
-    (k % 20 - 7)::INTEGER AS speaker_count_error, peak_rss_mb AS rss_mb, flags FROM results WHERE coalesce(ok, FALSE) AND fixture = 'click'""",
+    f"""WITH {d.RESULTS} SELECT run, fixture, CASE WHEN k % 3 <> 0 THEN wer_norm END AS cpwer, 7 AS ref_speakers, (k % 20)::INTEGER AS hyp_speakers,
+    (k % 20 - 7)::INTEGER AS speaker_count_error, peak_rss_mb AS rss_mb, flags FROM results WHERE coalesce(ok, FALSE)""",
 )
 def speaker_run_table(spark, sf):
     k = F.col("k")
-    r = Tables(spark, sf).results.filter("fixture = 'click'").withColumn(
+    r = Tables(spark, sf).results.withColumn(
         "cpwer",
         F.struct(
             F.when(k % 3 != 0, F.col("wer_norm")).alias("cpwer"),

@@ -26,16 +26,20 @@ spells AS (
   SELECT key, ts AS on_at, lead(ts) OVER (PARTITION BY key ORDER BY ts, ord) AS off_at, is_on FROM changes),
 intervals AS (SELECT key, on_at, off_at FROM spells WHERE is_on)"""
 
-_SESSIONS = f"""{d.SIGNAL},{_INTERVALS},
+def _session_steps(debounce: int, coalesce: int, minimum: int) -> str:
+    return f"""{_INTERVALS},
 joined AS (
-  SELECT *, CASE WHEN on_at - lag(off_at) OVER (PARTITION BY key ORDER BY on_at) < {COALESCE} THEN 0 ELSE 1 END AS brk FROM intervals),
+  SELECT *, CASE WHEN on_at - lag(off_at) OVER (PARTITION BY key ORDER BY on_at) < {coalesce} THEN 0 ELSE 1 END AS brk FROM intervals),
 runs AS (SELECT *, sum(brk) OVER (PARTITION BY key ORDER BY on_at) AS run FROM joined),
 found AS (
-  SELECT key, min(CASE WHEN off_at IS NULL OR off_at - on_at >= {DEBOUNCE} THEN on_at END) + {DEBOUNCE} AS started,
+  SELECT key, min(CASE WHEN off_at IS NULL OR off_at - on_at >= {debounce} THEN on_at END) + {debounce} AS started,
          CASE WHEN bool_or(off_at IS NULL) THEN NULL ELSE max(off_at) END AS ended FROM runs GROUP BY key, run),
 sessions AS (
   SELECT key, started, ended, ended - started AS duration,
-         CASE WHEN ended IS NOT NULL THEN ended - started >= {MINIMUM} END AS keep FROM found WHERE started IS NOT NULL)"""
+         CASE WHEN ended IS NOT NULL THEN ended - started >= {minimum} END AS keep FROM found WHERE started IS NOT NULL)"""
+
+
+_SESSIONS = f"{d.SIGNAL},{_session_steps(DEBOUNCE, COALESCE, MINIMUM)}"
 
 
 def _sessions(t: Tables):
@@ -78,7 +82,13 @@ def held_signal(spark, sf):
     return sessions.held_signal(Tables(spark, sf).holders, own_pid=3)
 
 
-@query("held_sessions")
+@query(
+    "held_sessions",
+    f"""WITH {d.HOLDERS},
+    signal AS (SELECT key, ts, snapshot_id AS ord, bool_or(pid <> 3 AND ({d.known("bundle_id")} IS NOT NULL OR NOT starts_with(bundle_id, 'com.apple.'))) AS is_on
+               FROM holders GROUP BY ALL),{_session_steps(2, 3, 4)}
+    SELECT key, started, ended, duration, keep FROM sessions""",
+)
 def held_sessions(spark, sf):
     """Sessions of the signal derived from holder snapshots."""
     held = sessions.held_signal(Tables(spark, sf).holders, own_pid=3)

@@ -46,15 +46,16 @@ def transcript_documents(spark, sf):
 
 @query(
     "transcript_files",
-    """SELECT CASE WHEN role = 'user' THEN 'me' ELSE 'other' END AS kind, CASE WHEN turn % 5 <> 3 THEN turn * 10.0::DOUBLE ELSE 0 END AS start, text FROM conversations""",
+    """SELECT 'c' || conv_id AS recording_id, CASE WHEN role = 'user' THEN 'me' ELSE 'other' END AS kind, CASE WHEN turn % 5 <> 3 THEN turn * 10.0::DOUBLE ELSE 0 END AS start, text FROM conversations""",
 )
 def transcript_files(spark, sf):
     """Document files, fifty documents a file, one per line."""
     path = scratch(spark, "transcripts")
     docs = _segment_json(Tables(spark, sf), True).withColumn("part", F.floor(F.col("conv_id") / 50))
+    docs = docs.withColumn("json", F.concat(F.lit('{"recording_id":"c'), "conv_id", F.lit('",'), F.expr("substring(json, 2)")))
     docs.repartition("part").select("part", "json").write.partitionBy("part").text(path)
     segs = transcripts.read_transcripts(spark, f"{path}/*", multi_line=False)
-    return segs.select("speaker.kind", "start", "text")
+    return segs.select("recording_id", "speaker.kind", "start", "text")
 
 
 @query(
@@ -79,7 +80,10 @@ def reference_turns(spark, sf):
     c = Tables(spark, sf).raw("conversations")
     turn = F.struct("turn", F.col("role").alias("speaker"), "text")
     doc = c.groupBy("conv_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(turn)), lambda x: F.struct(x["speaker"].alias("speaker"), x["text"].alias("text")))).alias("json"))
-    return transcripts.parse_turns(doc.select(F.concat(F.lit("c"), "conv_id").alias("fixture"), "json"))
+    path = scratch(spark, "turns")
+    named = doc.select(F.concat(F.lit("c"), "conv_id").alias("fixture"), F.col("json").alias("value"))
+    named.repartition("fixture").write.partitionBy("fixture").text(path)
+    return transcripts.read_reference_turns(spark, path)
 
 
 _NAMES = ["ALEX STONE", "STONE", "OK.  MARIA DEL-RIO", "DR. O'NEIL"]
@@ -116,7 +120,13 @@ def page_turns(spark, sf):
     return pages.labelled_turns(plain, "page_id", "text").select("page_id", "speaker", "text")
 
 
-@query("page_text")
+# The entities that the pages hold.
+_PAGE_TEXT = r"""regexp_replace(html, '<[^>]+>', ' ', 'g')"""
+for _entity, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    _PAGE_TEXT = f"replace({_PAGE_TEXT}, '{_entity}', '{_char}')"
+
+
+@query("page_text", rf"""SELECT page_id, trim(regexp_replace(regexp_replace({_PAGE_TEXT}, '\[[^\]]*\]', ' ', 'g'), '[\s\x{{00A0}}]+', ' ', 'g')) AS text FROM pages""")
 def page_text(spark, sf):
     """Visible text of the raw pages: tags out, entities resolved, cues dropped."""
     p = Tables(spark, sf).raw("pages")
@@ -147,18 +157,13 @@ def sweep_specification(spark, sf):
     path = scratch(spark, "spec")
     p = Tables(spark, sf).raw("part")
     run = F.struct(F.concat(F.lit("run"), "p_partkey").alias("name"), F.struct(F.col("p_size").alias("beam")).alias("flags"))
-    spec = p.groupBy((F.col("p_partkey") % 7).alias("g")).agg(F.collect_list(run).alias("runs"))
-    spec.select(F.lit("asr").alias("mode"), "runs").write.json(path)
-    runs, _ = _spec_lines(spark, path)
+    # A specification of a hundred runs a file.
+    spec = p.groupBy(F.floor(F.col("p_partkey") / 100).alias("g")).agg(F.collect_list(run).alias("runs"))
+    spec.select("g", F.lit("asr").alias("mode"), "runs").repartition("g").write.partitionBy("g").json(path)
+    runs, _ = sweeps.read_spec(spark, path)
     return runs.select("run", "flags")
 
 
-def _spec_lines(spark, path):
-    """Specifications written one per line."""
-    spec = spark.read.schema(sweeps.SPEC_SCHEMA).json(path)
-    return sweeps.explode_spec(spec)
-
-
 @query(
     "corpus_manifest",
     """SELECT lang AS source, 'd' || doc_id AS id, n_chars / 10.0::DOUBLE AS duration_s, n_chars AS ref_word_count FROM documents""",
@@ -187,6 +192,19 @@ def state_tables(spark, sf):
     return r.select("id", "status", millis(F.col("started_at")).alias("started_at"), "transcribe_secs")
 
 
+@query(
+    "job_tables",
+    f"WITH {d.JOBS} SELECT id, kind, state, attempts::BIGINT AS attempts, epoch_us(next_run_at) // 1000 AS next_run_at, period_secs::BIGINT AS period_secs, last_error FROM jobs",
+)
+def job_tables(spark, sf):
+    from parley.functions.clock import millis
+
+    path = scratch(spark, "jobs")
+    Tables(spark, sf).jobs.write.parquet(path)
+    j = tables.read_jobs(spark, path)
+    return j.select("id", "kind", "state", F.col("attempts").cast("long").alias("attempts"), millis(F.col("next_run_at")).alias("next_run_at"), "period_secs", "last_error")
+
+
 @query(
     "stats_feed",
     """SELECT 'user' || user_id AS backend, count(*) AS snapshots, round(max(value), 6) AS peak_rss, sum(2)::BIGINT AS threads FROM events GROUP BY 1""",

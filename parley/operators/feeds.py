@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import maths, text
-from parley.operators.ordered import running_total
+from parley.operators.ordered import scan_before, running_total
 
 # The published caps.
 LINE_LIMIT = 2000
@@ -99,17 +99,15 @@ def recent_logs(logs: DataFrame, span: int, max_bytes: int = LOG_BYTES) -> DataF
     has no bytes; entries without a clock come last.
     """
     at = F.coalesce(F.col("at"), F.lit(-(2**62)))
-    keyed = logs.withColumn("_all", F.lit(1)).withColumn("_blk", -F.floor(at / span))
+    keyed = logs.withColumn("_blk", -F.floor(at / span))
     blocks = keyed.groupBy("_blk").agg(F.sum(log_cost()).alias("_b"))
-    before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    live = blocks.select("_blk", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_used")).filter(
-        F.col("_used") < max_bytes
-    )
-    near = keyed.join(live.select("_blk"), "_blk", "left_semi")
-    summed = running_total(
-        near, ["_all"], [F.col("at").desc(), F.col("ord").desc()], F.col("_blk"), log_cost(), "_sum"
-    )
-    return summed.filter(F.col("_sum") <= max_bytes).drop("_all", "_blk", "_sum")
+    used = F.coalesce("_before", F.lit(0)).alias("_used")
+    live = scan_before(blocks, "_blk", "_b", "sum", "_before").select("_blk", used).filter(F.col("_used") < max_bytes)
+    # The blocks within the budget, each with what is newer: a block is one task's work.
+    near = keyed.join(live, "_blk")
+    along = Window.partitionBy("_blk").orderBy(F.col("at").desc(), F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = near.withColumn("_sum", F.col("_used") + F.sum(log_cost()).over(along))
+    return summed.filter(F.col("_sum") <= max_bytes).drop("_blk", "_used", "_sum")
 
 
 def newest(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -213,6 +213,35 @@ def running_peak(
     )
 
 
+#: Folds of ``scan_before``: over rows, and of two results of which one may be NULL.
+SCANS = {
+    "sum": (F.sum, lambda a, b: F.when(a.isNull(), b).otherwise(a + F.coalesce(b, F.lit(0)))),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+}
+
+
+def scan_before(df: DataFrame, order: str, value: str, how: str, name: str, span: int = 1000, levels: int = 2) -> DataFrame:
+    """Fold of ``value`` over all rows with a smaller ``order``; NULL on the first.
+
+    ``order`` is a unique whole number of any sign, ``how`` one of SCANS. A tree of blocks of ``span`` numbers: each block is
+    folded, what stands before a block is the same scan over blocks, and only
+    the blocks of the last level, ``span`` ** ``levels`` numbers each, are in
+    one window.
+    """
+    fold, merged = SCANS[how]
+    before = lambda w: w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if levels == 0:
+        # A row for each block of the last level: the range of the numbers over span ** levels.
+        return df.withColumn(name, fold(F.col(value)).over(before(Window.partitionBy(F.lit(0)))))
+    cut = df.withColumn("_block", F.floor(F.col(order) / span))
+    blocks = cut.groupBy("_block").agg(fold(F.col(value)).alias("_v")).select(F.col("_block").alias(order), F.col("_v").alias(value))
+    carried = scan_before(blocks, order, value, how, "_carry", span, levels - 1).select(F.col(order).alias("_block"), "_carry")
+    here = fold(F.col(value)).over(before(Window.partitionBy("_block")))
+    both = cut.withColumn("_here", here).join(carried, "_block")
+    return both.select(*df.columns, merged(F.col("_here"), F.col("_carry")).alias(name))
+
+
 def latest(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
     """One row per key: the one with the greatest ``by``. Combines map-side."""
     keys = list(keys)

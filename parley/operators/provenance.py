@@ -10,34 +10,50 @@ SCHEMA_VERSION = 1
 CLOUD_MODEL = "cloud/default"
 LOCAL_MODEL = "local/default"
 DIARIZER_MODEL = "local/diarizer"
+VAD_MODEL = "local/voice-activity"
+EMBEDDING_MODEL = "local/speaker-embedding"
 
 
-def number_text(x: Column) -> Column:
-    """JSON cannot hold NaN or infinities, so those are described in text."""
-    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(x.cast("string"))
+def number(x: Column) -> Column:
+    """A number as JSON holds it. JSON cannot hold NaN or infinities, so those are described in text."""
+    x = x.cast("double")
+    text = F.when(F.isnan(x), '"NaN"').when(x == float("inf"), '"inf"').when(x == float("-inf"), '"-inf"').otherwise(x.cast("string"))
+    return F.parse_json(text)
 
 
-def _model(id_: Column) -> Column:
-    return F.when(id_.isNotNull(), F.struct(id_.alias("id")))
+def _model(id_: Column, artifact: Column) -> Column:
+    return F.when(id_.isNotNull(), F.struct(id_.alias("id"), artifact.alias("artifact")))
 
 
 def build(configs: DataFrame, version: str) -> DataFrame:
     """Provenance of each configuration row: an allowlist, nothing else.
 
-    configs: mode (live or batch), backend, threshold, threads, diarize.
-    Absent fields are left out of the document.
+    configs: mode (live or batch), backend, threads, diarize and threshold (of
+    the diarization); and, where the columns are there, language, asr_engine,
+    provider, asr_artifact, vad_threshold, vad_min_silence, vad_model,
+    diarization_artifact and embedding_model. Absent and NULL fields are left
+    out of the document; finite numbers are numbers in it.
     """
+    given = lambda name, kind="string": F.col(name).cast(kind) if name in configs.columns else F.lit(None).cast(kind)
     local = F.col("backend") == "local"
     diarized = local & F.col("diarize")
     settings = F.struct(
         F.when(F.col("mode") == "live", "live_pcm_stream").otherwise("completed_recording").alias("input"),
-        F.when(~local, "channel_identification").when(diarized, "channels+diarizer").otherwise("channels").alias("speaker_attribution"),
+        F.when(~local, given("language")).alias("language"),
+        F.when(local, given("asr_engine")).alias("asr_engine"),
+        F.when(local, given("provider")).alias("provider"),
         F.when(local, F.col("threads")).alias("threads"),
-        F.when(local, number_text(F.col("threshold"))).alias("threshold"),
+        F.when(local, F.col("diarize")).alias("diarize_far_end"),
+        F.when(~local, "channel_identification").when(diarized, "channels+diarizer").otherwise("channels").alias("speaker_attribution"),
+        F.when(local, number(F.col("threshold"))).alias("threshold"),
+        F.when(local, number(given("vad_threshold", "double"))).alias("vad_threshold"),
+        F.when(local, number(given("vad_min_silence", "double"))).alias("vad_min_silence_seconds"),
     )
     models = F.struct(
-        _model(F.when(local, LOCAL_MODEL).otherwise(CLOUD_MODEL)).alias("asr"),
-        _model(F.when(diarized, DIARIZER_MODEL)).alias("diarization"),
+        _model(F.when(local, LOCAL_MODEL).otherwise(CLOUD_MODEL), F.when(local, given("asr_artifact"))).alias("asr"),
+        _model(F.when(local, F.coalesce(given("vad_model"), F.lit(VAD_MODEL))), F.lit(None).cast("string")).alias("vad"),
+        _model(F.when(diarized, DIARIZER_MODEL), given("diarization_artifact")).alias("diarization"),
+        _model(F.when(diarized, F.coalesce(given("embedding_model"), F.lit(EMBEDDING_MODEL))), F.lit(None).cast("string")).alias("speaker_embedding"),
     )
     doc = F.struct(
         F.lit(SCHEMA_VERSION).alias("schema"),

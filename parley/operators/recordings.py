@@ -296,21 +296,22 @@ def artifact_paths(recordings: DataFrame, temps: DataFrame | None = None) -> Dat
 def retention_plan(recordings: DataFrame, jobs: DataFrame, staging: DataFrame, now: Column, days: int) -> DataFrame:
     """What a sweep would remove: a plan table, deleting nothing.
 
-    Terminal rows past ``days`` lose their artifacts, past max(days, 90) the
-    row too; rows with unresolved staging keep everything. Unfinished rows
+    Terminal rows past ``days`` lose their artifacts, with the temporary files
+    beside them, past max(days, 90) the row too; rows with unresolved staging keep everything. Unfinished rows
     lose only stale temporary files. Failed jobs go after 30 days.
     """
     before = lambda d: clock.from_millis(clock.millis(now) - d * 86_400_000)
     old = recordings.filter(F.col("updated_at") < before(days))
     ready = old.filter(is_terminal(F.col("status"))).join(staging.select("id"), "id", "left_anti")
-    files = artifact_paths(ready).select("id", F.lit("delete_artifact").alias("action"), "path")
+    stray = F.concat("audio_path", F.lit(".checkpoint.json.tmp*")).alias("path")
+    files = artifact_paths(ready, ready.select("id", stray)).select("id", F.lit("delete_artifact").alias("action"), "path")
     rows_ = ready.filter(F.col("updated_at") < before(max(days, MIN_ROW_DAYS))).select(
         "id", F.lit("delete_row").alias("action"), F.lit(None).cast("string").alias("path")
     )
     temps = old.filter(~is_terminal(F.col("status"))).select(
         "id",
         F.lit("delete_stale_temps").alias("action"),
-        F.concat("audio_path", F.lit(".checkpoint.json.tmp*")).alias("path"),
+        stray,
     )
     debris = jobs.filter((F.col("state") == "failed") & (F.col("updated_at") < before(FAILED_JOB_DAYS))).select(
         F.col("id").cast("string").alias("id"),

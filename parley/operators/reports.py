@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.operators.ordered import scan_before
+
 MISSING_RANK = -99.0
 
 
@@ -61,10 +63,7 @@ def pareto_front(points: DataFrame, x: str, y: str, cell: float) -> DataFrame:
     low = points.groupBy(F.col(x).alias("_x")).agg(F.min(y).alias("_y")).withColumn(
         "_cell", F.floor(F.col("_x") / cell)
     )
-    # One row per cell: the range of x over the cell width.
-    coarse = low.groupBy("_cell").agg(F.min("_y").alias("_cy"))
-    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.select("_cell", F.min("_cy").over(before).alias("_carry"))
+    coarse = scan_before(low.groupBy("_cell").agg(F.min("_y").alias("_cy")), "_cell", "_cy", "min", "_carry").drop("_cy")
     inside = Window.partitionBy("_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     marks = low.join(coarse, "_cell").select(
         F.col("_x").alias(x), "_y", F.least(F.min("_y").over(inside), F.col("_carry")).alias("_left")
@@ -98,6 +97,7 @@ def speaker_table(results: DataFrame) -> DataFrame:
     c = F.col("cpwer")
     return scored_rows(results).select(
         "run",
+        "fixture",
         c["cpwer"].alias("cpwer"),
         c["ref_speakers"].alias("ref_speakers"),
         c["hyp_speakers"].alias("hyp_speakers"),

@@ -37,9 +37,18 @@ def _segments(df: DataFrame) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Diarized transcripts, one JSON document per file (or per line)."""
-    raw = spark.read.schema(TRANSCRIPT_SCHEMA).json(path, multiLine=multi_line)
-    return _segments(raw.select(from_path().alias("recording_id"), F.struct("segments", "transcript").alias("doc")))
+    """Diarized transcripts, one JSON document per file, named by the file, or one per line.
+
+    A line's document is named by its own ``recording_id``; without one, by its
+    file and a hash of the line, so that no two documents of a file are one.
+    """
+    if multi_line:
+        raw = spark.read.schema(TRANSCRIPT_SCHEMA).json(path, multiLine=True)
+        return _segments(raw.select(from_path().alias("recording_id"), F.struct("segments", "transcript").alias("doc")))
+    doc = F.from_json("value", f"recording_id string, {TRANSCRIPT_SCHEMA}")
+    lines = spark.read.text(path).filter("trim(value) <> ''").select(from_path().alias("_file"), "value", doc.alias("doc"))
+    unnamed = F.concat("_file", F.lit(":"), F.lower(F.hex(F.xxhash64("value"))))
+    return _segments(lines.select(F.coalesce("doc.recording_id", unnamed).alias("recording_id"), "doc"))
 
 
 def parse_transcripts(rows: DataFrame) -> DataFrame:
@@ -106,9 +115,13 @@ def read_reference_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reference_turns(spark: SparkSession, path: str) -> DataFrame:
-    """Ordered reference turns: fixture, seq, speaker, text."""
+    """Ordered reference turns, one JSON array per file: fixture, seq, speaker, text.
+
+    A fixture is named by its folder ``fixture=...`` where there is one, else by its file.
+    """
     whole = spark.read.text(path, wholetext=True)
-    return parse_turns(whole.select(from_path().alias("fixture"), F.col("value").alias("json")))
+    fixture = F.col("fixture").cast("string") if "fixture" in whole.columns else from_path()
+    return parse_turns(whole.select(fixture.alias("fixture"), F.col("value").alias("json")))
 
 
 def parse_turns(rows: DataFrame) -> DataFrame:

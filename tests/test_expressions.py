@@ -114,3 +114,44 @@ def test_offsets_to_utc(spark):
 
 def test_sample_limits(spark):
     assert [one(spark, maths.to_int16, v, "double") for v in (2.0, -2.0, 0.5, -0.00001)] == [32767, -32767, 16383, 0]
+
+
+def test_provenance_holds_numbers_as_numbers(spark):
+    import json
+
+    from parley.operators import provenance
+
+    rows = [("live", "local", 0.5, 4, True, 0.25), ("batch", "local", float("nan"), 2, False, float("inf")), ("batch", "cloud", 0.5, 1, True, 0.5), ("live", "local", None, None, None, None)]
+    df = spark.createDataFrame(rows, "mode string, backend string, threshold double, threads int, diarize boolean, vad_threshold double")
+    first, second, third, fourth = [json.loads(r.provenance)["made"] for r in provenance.build(df, "1").collect()]
+    assert first["configuration"] == {
+        "input": "live_pcm_stream", "threads": 4, "diarize_far_end": True, "speaker_attribution": "channels+diarizer", "threshold": 0.5, "vad_threshold": 0.25,
+    }
+    assert set(first["models"]) == {"asr", "vad", "diarization", "speaker_embedding"}
+    assert (second["configuration"]["threshold"], second["configuration"]["vad_threshold"]) == ("NaN", "inf") and set(second["models"]) == {"asr", "vad"}
+    assert third["configuration"] == {"input": "completed_recording", "speaker_attribution": "channel_identification"} and set(third["models"]) == {"asr"}
+    assert fourth["configuration"] == {"input": "live_pcm_stream", "speaker_attribution": "channels"}
+
+
+def test_scan_before_equals_a_running_fold(spark):
+    import random
+
+    from parley.operators.ordered import scan_before
+
+    rng = random.Random(2)
+    rows = [(n, rng.randrange(100)) for n in rng.sample(range(-50, 400), 120)]
+    df = spark.createDataFrame(rows, "n long, v long").repartition(3)
+    for how, fold in (("sum", sum), ("min", min), ("max", max)):
+        for levels in (0, 1, 2, 3):
+            got = {r.n: r.x for r in scan_before(df, "n", "v", how, "x", span=7, levels=levels).collect()}
+            assert got == {n: fold([v for m, v in rows if m < n]) if any(m < n for m, _ in rows) else None for n, _ in rows}
+
+
+def test_documents_of_one_file_keep_apart(spark, tmp_path):
+    from parley.sources.transcripts import read_transcripts
+
+    doc = '{{{}"segments":[{{"speaker":{{"kind":"me"}},"start":1.0,"end":2.0,"text":"{}"}}]}}'
+    (tmp_path / "calls.json").write_text("\n".join([doc.format('"recording_id":"r1",', "a"), doc.format("", "b"), doc.format("", "c"), ""]))
+    got = read_transcripts(spark, str(tmp_path), multi_line=False).collect()
+    assert len({r.recording_id for r in got}) == 3 and {r.text for r in got if r.recording_id == "r1"} == {"a"}
+    assert all(r.recording_id == "r1" or r.recording_id.startswith("calls:") for r in got)
