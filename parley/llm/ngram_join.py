@@ -26,11 +26,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm.common import bucket_components, thinned
+from parley.llm.common import bucket_components, shuffle_width, thinned
 from parley.session import settle
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -121,9 +121,9 @@ def sketch(shingles: np.ndarray, pieces: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
-    """One row a document: size and digest of its set, and its sketches for its own band and the next."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, n long, d1 long, d2 long, band int, own binary, next binary"
+    """One row a document: a hash of its text, size and digest of its set, and its sketches for its own band and the next."""
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
+    schema = "doc_id long, version long, n long, d1 long, d2 long, band int, own binary, next binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, piece_counts = Shingler(like.words), {}
@@ -135,7 +135,7 @@ def shingle_sets(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFr
 
         for batch in batches:
             n, first, second, bands, own, above = [], [], [], [], [], []
-            for value in batch.column(1).to_pylist():
+            for value in batch.column(2).to_pylist():
                 s = shingler(value)
                 n.append(len(s))
                 a, b = digest(s)
@@ -147,7 +147,7 @@ def shingle_sets(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFr
                 above.append(sketch(s, pieces(k + 1)).tobytes() if len(s) else None)
             columns = [pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bands, pa.int32())]
             columns += [pa.array(own, pa.binary()), pa.array(above, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "d1", "d2", "band", "own", "next"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "version", "n", "d1", "d2", "band", "own", "next"])
 
     return docs.mapInArrow(run, schema)
 
@@ -188,6 +188,78 @@ def piece_rows(sets: DataFrame, like: Likeness) -> DataFrame:
     return sets.filter("n > 0").select("d1", "band", "own", "next").mapInArrow(run, "bucket long, id long")
 
 
+def _rep(version: Column) -> Column:
+    """What the text of a document is found by: its id, or without one a hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), version.cast("string")))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rep`` and ``text`` of the documents in the one column of ``wanted``; equal texts without an id come once."""
+    named = thinned(docs.withColumn("rep", _rep(F.xxhash64("text"))), "rep", wanted)
+    return named.filter("doc_id is not null").select("rep", "text").unionByName(
+        named.filter("doc_id is null").select("rep", "text").dropDuplicates(["rep"])
+    )
+
+
+#: Counters of how common shingles are; a fixed number, whatever the input.
+COUNTERS = 1 << 18
+
+
+def _narrowed(docs: DataFrame, classes: DataFrame, apart: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs of sets of different roots that may be alike: all that are, and few others.
+
+    Shingles are ordered from the rarest among these sets, as a table of
+    COUNTERS counts has it; any one order gives right results. Of two alike sets
+    of ``n`` and ``m`` shingles, both have one in common among the first
+    ``n - ceil(n * percent) + 1`` and ``m - ceil(m * percent) + 1``. Sets that
+    have no more than a passage in common do not meet on it, as it is common;
+    a shingle that only sets of one root have is left out before the join.
+    """
+    spark = docs.sparkSession
+    held = apart.withColumnRenamed("id", "d1").join(classes.select("d1", "rep"), "d1")
+    known = held.join(_texts(docs, held.select("rep")), "rep").select("d1", "root", "text")
+    known = settle(spark, known.repartition(shuffle_width(spark), "d1"), "apart")
+    shingled = known.select("d1", "root", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, sums = Shingler(like.words), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(2).to_pylist():
+                np.add.at(sums, (shingler(text) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["counter", "n"])
+
+    counted = shingled.mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    common = np.zeros(COUNTERS, np.int64)
+    common[counted["counter"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(like.words)
+        names = ["id", "root", "n", "rest", "hash"]
+        for batch in batches:
+            for meant, root, text in zip(*(c.to_pylist() for c in batch.columns)):
+                s = shingler(text)
+                if not len(s) or digest(s)[0] != meant:
+                    continue
+                s = s[np.lexsort((s, common[(s % np.uint64(COUNTERS)).astype(np.int64)]))]
+                n = len(s)
+                head = s[: n - -(-n * like.percent // 100) + 1]
+                same = lambda v: pa.array(np.full(len(head), v, np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [same(meant), same(root), same(n), pa.array(n - np.arange(len(head), dtype=np.int64)), pa.array(head.view(np.int64))], names=names
+                )
+
+    rows = settle(spark, shingled.mapInArrow(heads, "id long, root long, n long, rest long, hash long").distinct(), "heads")
+    mixed = rows.groupBy("hash").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y").select("hash")
+    keyed = rows.join(mixed, "hash")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    sized = like.percent * F.greatest("x.n", "y.n") <= 100 * F.least("x.n", "y.n")
+    # From the first shingle in common on, both sets must hold all that alike sets share.
+    enough = (100 + like.percent) * F.least("x.rest", "y.rest") >= like.percent * (F.col("x.n") + F.col("y.n"))
+    may = (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & sized & enough
+    return x.join(y, (F.col("x.hash") == F.col("y.hash")) & may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
     """Links among candidate pairs (a, b) of set digests.
 
@@ -195,14 +267,13 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, like: Liken
     is the one meant shows by its digest.
     """
     spark = docs.sparkSession
-    side = lambda s: classes.select(F.col("d1").alias(s), F.col("n").alias(f"n_{s}"), F.col("doc_id").alias(f"doc_{s}"))
+    side = lambda s: classes.select(F.col("d1").alias(s), F.col("n").alias(f"n_{s}"), F.col("rep").alias(f"rep_{s}"))
     n_a, n_b = F.col("n_a"), F.col("n_b")
     sized = 100 * F.least(n_a, n_b) >= like.percent * F.greatest(n_a, n_b)
     named = settle(spark, pairs.join(side("a"), "a").join(side("b"), "b").filter(sized), "candidates")
-    wanted = named.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id"))
-    texts = thinned(docs, "doc_id", wanted)
-    left = named.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-    both = left.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+    texts = _texts(docs, named.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")))
+    left = named.join(texts.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a")), "rep_a")
+    both = left.join(texts.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(like.words)
@@ -246,21 +317,30 @@ def near_classes(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_i
     bucket of candidates (see ``bucket_components``). A group of near copies is
     spread over as many buckets as a sketch has pieces, so a bucket holds a
     small share of all rows even if the group is a third of them; a bucket's
-    rows are two numbers and stream through a sort. Sets go by 64 bits of their
+    rows are two numbers and stream through a sort. Members of large buckets
+    that are not connected yet are compared by their rarest shingles. Sets go by 64 bits of their
     digest while candidates are searched; links are verified on the shingles.
     """
+    return _classes(docs, like, key, text).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def _classes(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
+    """``near_classes`` with a hash of each row's text, ``version``, and its ``root``, NULL for a row without words."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = settle(spark, shingle_sets(docs, like, "doc_id", "text"), "shingle-sets")
-    classes = settle(spark, sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id")), "classes")
-    found = bucket_components(spark, piece_rows(sets, like), lambda pairs: _verified(docs, classes, pairs, like), "ngram-join")
+    first = F.min_by(F.struct("doc_id", "version"), F.struct(F.col("doc_id").isNull(), "doc_id", "version"))
+    classes = sets.filter("n > 0").groupBy("n", "d1", "d2").agg(first.alias("_f")).select("n", "d1", "d2", "_f.*")
+    classes = settle(spark, classes.withColumn("rep", _rep(F.col("version"))).drop("version"), "classes")
+    found = bucket_components(
+        spark, piece_rows(sets, like), lambda pairs: _verified(docs, classes, pairs, like), "ngram-join", lambda apart: _narrowed(docs, classes, apart, like)
+    )
     grouped = classes.join(found.withColumnRenamed("id", "d1"), "d1", "left").withColumn("root", F.coalesce("root", "d1"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = grouped.join(least, "root").select("n", "d1", "d2", "component_id")
-    rows = sets.select("doc_id", "n", "d1", "d2")
-    return rows.join(linked, ["n", "d1", "d2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    linked = grouped.join(least, "root").select("n", "d1", "d2", "component_id", "root")
+    return sets.select("doc_id", "version", "n", "d1", "d2").join(linked, ["n", "d1", "d2"], "left").drop("d1", "d2")
 
 
 def without_near_copies(docs: DataFrame, like: Likeness, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,9 +349,12 @@ def without_near_copies(docs: DataFrame, like: Likeness, key: str = "doc_id", te
     Documents without words are no one's copies and all stay, as do rows with a
     NULL id. Of rows that share id and class one stays.
     """
-    found = near_classes(docs, like, key, text)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    stay = docs.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")
-    repeat = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(*docs.columns)))
+    found = _classes(docs, like, key, text).filter("root is not null and doc_id is not null")
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("_kept"))
+    others = found.join(kept, "root").filter(F.struct("doc_id", "version") != F.col("_kept"))
+    gone = others.select(F.col("doc_id").alias("_gone"), F.col("version").alias("_version")).distinct()
+    version = F.xxhash64(text)
+    stay = docs.join(gone, (F.col(key).cast("long") == F.col("_gone")) & (version == F.col("_version")), "left_anti")
+    repeat = F.row_number().over(W.partitionBy(F.col(key), version).orderBy(F.xxhash64(*docs.columns)))
     wordless = F.coalesce(F.col(text), F.lit("")).rlike("^[ \\t-\\r]*$")
     return stay.withColumn("_repeat", F.when(F.col(key).isNull() | wordless, F.lit(1)).otherwise(repeat)).filter("_repeat = 1").drop("_repeat")

@@ -95,6 +95,81 @@ def test_ngram_join(docs, empty, like):
     assert ngram_join.near_classes(empty, like).count() == 0
 
 
+def brute_components(sets, percent):
+    """Smallest number of each set's component, over all pairs."""
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+def passage_texts(seed, families=14, copies=12):
+    """Families of near copies that all hold one long passage, so that buckets hold members of many families."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    out = []
+    for f in range(families):
+        own = [word() for _ in range(rnd.choice((10, 16, 60)))]
+        for _ in range(copies):
+            words = own[: len(own) // 2] + passage + own[len(own) // 2 :]
+            for _ in range(rnd.randrange(3)):
+                words[rnd.randrange(len(words))] = word()
+            out.append(" ".join(words))
+    rnd.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("like", [ngram_join.Likeness(3, 90), ngram_join.Likeness(5, 80)])
+def test_ngram_join_of_families_around_a_passage(spark, like):
+    texts = passage_texts(like.words)
+    want = brute_components([shingles(t, like.words) for t in texts], like.percent)
+    found = ngram_join.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), like)
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(want))
+    assert len(set(want)) > 10
+
+
+def test_narrowed_sets_hold_every_link_and_few_others(spark):
+    like, texts = ngram_join.Likeness(3, 90), passage_texts(5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = ngram_join.shingle_sets(docs, like, "doc_id", "text").collect()
+    by = {r.d1: shingles(texts[r.doc_id], 3) for r in sets}
+    classes = spark.createDataFrame([(r.d1, str(r.doc_id)) for r in sets], "d1 long, rep string").dropDuplicates(["d1"])
+    apart = classes.selectExpr("d1 AS id", "d1 AS root")
+    found = {(r.a, r.b) for r in ngram_join._narrowed(docs, classes, apart, like).collect()}
+    links = {(a, b) for a in by for b in by if a < b and 100 * len(by[a] & by[b]) >= 90 * len(by[a] | by[b])}
+    assert links and links <= found
+    assert len(found) < 0.2 * len(by) * (len(by) - 1) / 2
+
+
+def test_a_row_without_id_still_links(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    chain = [base, base.replace("w50 ", "x ").replace("w150 ", "y "), base.replace("w50 ", "x ").replace("w150 ", "y ").replace("w90 ", "z ").replace("w20 ", "q ")]
+    like = ngram_join.Likeness(3, 94)
+    for middle in (2, None):
+        rows = [(1, chain[0]), (middle, chain[1]), (middle, chain[1]), (3, chain[2])]
+        found = {r.doc_id: r.component_id for r in ngram_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), like).collect()}
+        assert found[1] == found[3] == 1
+
+
+def test_one_document_of_each_class_stays(spark):
+    a, clean, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, a, 0), (2, a, 1), (2, clean, 2), (2, clean, 3), (None, a, 4), (3, None, 5), (3, "", 6), (4, other, 7), (4, other + " end", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version int")
+    kept = ngram_join.without_near_copies(docs, ngram_join.Likeness(5, 80)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept if r.doc_id != 4) == sorted([(1, a), (2, clean), (0, a), (3, ""), (3, "")])
+    assert sum(r.doc_id == 4 for r in kept) == 1
+
+
 def test_quality(docs, empty):
     judged = {(r.doc_id, r.n_words): r for r in quality.judge(docs).collect()}
     for key, text in {(r[0], r[1]) for r in rows()}:
