@@ -4,7 +4,7 @@ import importlib
 
 from parley.catalog.registry import ORACLES, QUERIES
 
-for _part in ("calls", "scores", "signals", "operations", "reports", "feeds", "sources", "streams"):
+for _part in ("calls", "scores", "signals", "operations", "reports", "feeds", "sources", "streams", "hooks"):
     try:
         importlib.import_module(f"parley.catalog.{_part}")
     except ModuleNotFoundError as missing:
