@@ -134,19 +134,23 @@ def _nearest() -> Column:
     return (-F.array_max(scored)["i"]).cast("long")
 
 
-def pinned(spark: SparkSession, vectors: DataFrame, k: int, rounds: int = 20) -> DataFrame:
+def pinned(spark: SparkSession, vectors: DataFrame, k: int, rounds: int | None = None) -> DataFrame:
     """Known speaker count: k-means by cosine inside each recording.
 
     Centres start as vectors far from each other, out of at most ``32 * k`` of
     a recording. Every round assigns all vectors and sums them per (recording,
-    centre) before anything moves, and writes the centres out; it ends when
-    no centre moves, or after ``rounds``. A recording with fewer vectors than
+    centre) before anything moves, and writes the centres out, until no centre
+    moves. With ``rounds``, that many without an end are an error. A recording with fewer vectors than
     ``k`` has as many speakers as vectors.
     """
     v = vectors.select("recording_id", "vec_id", unit(F.col("embedding")).alias("u")).filter("u is not null")
     v = settle(spark, v, "vectors")
     centres = settle(spark, _seeds(v, k, 32 * k), "centres")
-    for _ in range(rounds):
+    done = 0
+    while True:
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"speakers have not settled after {rounds} rounds")
+        done += 1
         member = v.join(centres, "recording_id").select("recording_id", _nearest().alias("comp"), array_to_vector("u").alias("x"))
         mean = member.groupBy("recording_id", "comp").agg(unit(vector_to_array(Summarizer.mean(F.col("x")))).alias("c"))
         moved = mean.groupBy("recording_id").agg(in_order(F.col("c"), F.col("comp")).alias("centres"))
