@@ -79,7 +79,9 @@ def test_retention_spares_staging_and_unfinished(spark):
     plan = ops.retention_plan(rec, jobs, spark.createDataFrame([("held",)], "id string"), ts("2026-01-01 00:00:00"), 14)
     got = {(r.id, r.action) for r in plan.collect()}
     assert got == {("old", "delete_artifact"), ("old", "delete_row"), ("mid", "delete_artifact"), ("open", "delete_stale_temps"), ("1", "delete_job")}
-    assert plan.filter("id = 'old' AND action = 'delete_artifact'").count() == 4
+    # Four artifacts and the temporary files beside them.
+    gone = {r.path for r in plan.filter("id = 'old' AND action = 'delete_artifact'").collect()}
+    assert gone == {f"/r/old{end}" for end in (".wav", "-clean.wav", ".wav.checkpoint.json", ".wav.staging.json", ".wav.checkpoint.json.tmp*")}
 
 
 def test_bytes_under_prefix_is_a_folder(spark):
