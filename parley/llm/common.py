@@ -109,6 +109,7 @@ def bucket_components(
     verify: Callable[[DataFrame], DataFrame],
     name: str,
     narrow: Callable[[DataFrame], DataFrame] | None = None,
+    small: int = SMALL,
 ) -> DataFrame:
     """Components of the verified links between ids that share a bucket: (id, root).
 
@@ -118,6 +119,7 @@ def bucket_components(
     members. After a union-find, buckets whose members are still in different
     components are looked at again: ``narrow`` takes their (id, root) and
     returns pairs (a, b), a < b, of different roots, among them every link.
+    Buckets of at most ``small`` members are paired as they are.
     So the components hold all links between ids that share a bucket. Without
     ``narrow``, members of different roots in a bucket are the pairs: right
     where ids that share a bucket are nearly always links.
@@ -133,12 +135,12 @@ def bucket_components(
     mixed = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
     mixed = mixed.filter("x <> y and n > 2").select("bucket", "n")
     apart = settle(spark, members.join(mixed, "bucket"), name)
-    small = apart if narrow is None else apart.filter(F.col("n") <= SMALL)
-    x, y = small.alias("x"), small.alias("y")
+    few = apart if narrow is None else apart.filter(F.col("n") <= small)
+    x, y = few.alias("x"), few.alias("y")
     crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
     pairs = crossing.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     if narrow is not None:
-        pairs = pairs.unionByName(narrow(apart.filter(F.col("n") > SMALL).select("id", "root").distinct())).distinct()
+        pairs = pairs.unionByName(narrow(apart.filter(F.col("n") > small).select("id", "root").distinct())).distinct()
     second = pairs.join(first, ["a", "b"], "left_anti")
     more = verify(settle(spark, second, name)).select("a", "b")
     return components(spark, links.unionByName(more), name)

@@ -317,8 +317,8 @@ def near_classes(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_i
     bucket of candidates (see ``bucket_components``). A group of near copies is
     spread over as many buckets as a sketch has pieces, so a bucket holds a
     small share of all rows even if the group is a third of them; a bucket's
-    rows are two numbers and stream through a sort. Members of large buckets
-    that are not connected yet are compared by their rarest shingles. Sets go by 64 bits of their
+    rows are two numbers and stream through a sort. Members of a bucket that are
+    not connected yet are compared by their rarest shingles. Sets go by 64 bits of their
     digest while candidates are searched; links are verified on the shingles.
     """
     return _classes(docs, like, key, text).select(
@@ -335,7 +335,7 @@ def _classes(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
     classes = sets.filter("n > 0").groupBy("n", "d1", "d2").agg(first.alias("_f")).select("n", "d1", "d2", "_f.*")
     classes = settle(spark, classes.withColumn("rep", _rep(F.col("version"))).drop("version"), "classes")
     found = bucket_components(
-        spark, piece_rows(sets, like), lambda pairs: _verified(docs, classes, pairs, like), "ngram-join", lambda apart: _narrowed(docs, classes, apart, like)
+        spark, piece_rows(sets, like), lambda pairs: _verified(docs, classes, pairs, like), "ngram-join", lambda apart: _narrowed(docs, classes, apart, like), small=0
     )
     grouped = classes.join(found.withColumnRenamed("id", "d1"), "d1", "left").withColumn("root", F.coalesce("root", "d1"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
