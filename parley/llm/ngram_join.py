@@ -203,6 +203,15 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 #: Counters of how common shingles are; a fixed number, whatever the input.
 COUNTERS = 1 << 18
+#: Words of 64 bits of the parity sketch that goes with a set's rarest shingles.
+SKETCH_WORDS = 4
+
+
+def bit_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Each shingle flips one bit: two sketches differ in no more bits than their sets in shingles."""
+    at = (shingles * np.uint64(ODD[3])) >> np.uint64(56)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _narrowed(docs: DataFrame, classes: DataFrame, apart: DataFrame, like: Likeness) -> DataFrame:
@@ -214,6 +223,9 @@ def _narrowed(docs: DataFrame, classes: DataFrame, apart: DataFrame, like: Liken
     ``n - ceil(n * percent) + 1`` and ``m - ceil(m * percent) + 1``. Sets that
     have no more than a passage in common do not meet on it, as it is common;
     a shingle that only sets of one root have is left out before the join.
+    The join lets no pair through whose bit sketches differ in more bits than
+    alike sets of their sizes differ in shingles, so a large group of sets that
+    are nearly alike makes few rows.
     """
     spark = docs.sparkSession
     held = apart.withColumnRenamed("id", "d1").join(classes.select("d1", "rep"), "d1")
@@ -235,28 +247,34 @@ def _narrowed(docs: DataFrame, classes: DataFrame, apart: DataFrame, like: Liken
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(like.words)
-        names = ["id", "root", "n", "rest", "hash"]
+        names = ["id", "root", "n", "rest", "hash", *[f"s{k}" for k in range(SKETCH_WORDS)]]
         for batch in batches:
             for meant, root, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingler(text)
                 if not len(s) or digest(s)[0] != meant:
                     continue
                 s = s[np.lexsort((s, common[(s % np.uint64(COUNTERS)).astype(np.int64)]))]
-                n = len(s)
+                n, bits = len(s), bit_sketch(s)
                 head = s[: n - -(-n * like.percent // 100) + 1]
                 same = lambda v: pa.array(np.full(len(head), v, np.int64))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [same(meant), same(root), same(n), pa.array(n - np.arange(len(head), dtype=np.int64)), pa.array(head.view(np.int64))], names=names
+                    [same(meant), same(root), same(n), pa.array(n - np.arange(len(head), dtype=np.int64)), pa.array(head.view(np.int64)), *map(same, bits)],
+                    names=names,
                 )
 
-    rows = settle(spark, shingled.mapInArrow(heads, "id long, root long, n long, rest long, hash long").distinct(), "heads")
+    sketched = ", ".join(f"s{k} long" for k in range(SKETCH_WORDS))
+    rows = settle(spark, shingled.mapInArrow(heads, f"id long, root long, n long, rest long, hash long, {sketched}").dropDuplicates(["id", "hash"]), "heads")
     mixed = rows.groupBy("hash").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y").select("hash")
     keyed = rows.join(mixed, "hash")
     x, y = keyed.alias("x"), keyed.alias("y")
     sized = like.percent * F.greatest("x.n", "y.n") <= 100 * F.least("x.n", "y.n")
     # From the first shingle in common on, both sets must hold all that alike sets share.
     enough = (100 + like.percent) * F.least("x.rest", "y.rest") >= like.percent * (F.col("x.n") + F.col("y.n"))
-    may = (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & sized & enough
+    differ = F.lit(0)
+    for k in range(SKETCH_WORDS):
+        differ = differ + F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}")))
+    near = (100 + like.percent) * differ <= (100 - like.percent) * (F.col("x.n") + F.col("y.n"))
+    may = (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & sized & enough & near
     return x.join(y, (F.col("x.hash") == F.col("y.hash")) & may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
