@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import clock, maths, text
+from parley.session import dealt
 
 # Statuses, retry policy and retention horizons.
 STATUSES = ["recording", "pending_transcription", "transcribing", "pending_note", "done", "failed"]
@@ -290,7 +291,7 @@ def artifact_paths(recordings: DataFrame, temps: DataFrame | None = None) -> Dat
         F.concat(p, F.lit(".staging.json")),
     )
     out = recordings.select("id", F.explode(F.array_distinct(listed)).alias("path"))
-    return out if temps is None else out.unionByName(temps.select("id", "path")).distinct()
+    return out if temps is None else dealt(out.unionByName(temps.select("id", "path")), "id", "path").distinct()
 
 
 def retention_plan(recordings: DataFrame, jobs: DataFrame, staging: DataFrame, now: Column, days: int) -> DataFrame:

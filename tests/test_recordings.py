@@ -95,3 +95,11 @@ def test_only_new_ids_are_enqueued(spark):
     new = spark.createDataFrame([("a", "new", 2), ("b", "new", 5), ("b", "new", 4)], "id string, status string, started_at int")
     got = sorted((r.id, r.status, r.started_at) for r in ops.enqueue_missing(old, new).collect())
     assert got == [("a", "done", 1), ("b", "new", 4)]
+
+
+def test_paths_keep_all_tasks_of_the_session_and_come_once(spark):
+    rec = spark.createDataFrame([(f"r{k % 30}", f"/rec/r{k % 30}.wav") for k in range(60)], "id string, audio_path string")
+    temps = rec.select("id", F.concat("audio_path", F.lit(".checkpoint.json.tmp*")).alias("path"))
+    paths = ops.artifact_paths(rec, temps)
+    assert paths.rdd.getNumPartitions() == 4
+    assert paths.count() == paths.distinct().count() == 30 * 5
