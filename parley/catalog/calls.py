@@ -10,6 +10,7 @@ from parley.catalog.registry import query
 from parley.operators import transcripts as tr
 from parley.operators.ordered import CHUNK_ROWS
 from parley.plans import calls
+from parley.session import dealt
 from parley.sinks import notes
 from parley.sources import transcripts as src
 
@@ -219,6 +220,7 @@ def service_json(words, channels: bool):
             F.array(F.struct("content")).alias("alternatives"),
         ),
     )
+    items = dealt(items, "recording_id")
     ordered = lambda: F.sort_array(F.collect_list(F.struct("seq", "item")))["item"]
     if channels:
         chan = items.groupBy("recording_id", "channel").agg(ordered().alias("items"))

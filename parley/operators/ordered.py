@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.session import dealt
+
 CHUNK_ROWS = 100_000
 
 
@@ -111,7 +113,7 @@ def islands(
     sums = {n: f for n, f in folds.items() if isinstance(f, Fold)}
     carried = [F.col(c) for c in carry]
     whole_row = lambda picks: F.struct(*carried, *[f.expr.alias(f"_{n}") for n, f in picks.items()])
-    marked = df.withColumn("_chunk", chunk).withColumn("_prev", F.lag(F.struct(*carried)).over(here))
+    marked = dealt(df.withColumn("_chunk", chunk), *part).withColumn("_prev", F.lag(F.struct(*carried)).over(here))
     starts = F.col("_prev").isNull() | F.coalesce(
         breaks(lambda c: F.col("_prev")[c], lambda c: F.col(c)), F.lit(False)
     )
@@ -127,8 +129,8 @@ def islands(
     pieces = pieces.withColumn("_pieces", F.max("_piece").over(Window.partitionBy(*part)))
     edge = (F.col("_piece") == 1) | (F.col("_piece") == F.col("_pieces"))
     # Edge pieces of a key share one lane; inner pieces keep their chunk's.
-    laned = pieces.withColumn("_lane", F.when(~edge, F.col("_chunk")))
     lane = [*keys, "_lane"]
+    laned = dealt(pieces.withColumn("_lane", F.when(~edge, F.col("_chunk"))), *lane)
     along = Window.partitionBy(*lane).orderBy("_chunk", "_piece")
     before = laned.withColumn(
         "_before", F.lag(F.struct(F.col("_chunk").alias("chunk"), F.col("_tail").alias("tail"))).over(along)

@@ -168,3 +168,16 @@ def test_no_shuffle_is_by_key_alone(spark):
     assert by == [["k", "_lane"], ["k", "_chunk"]]
     got = runs.collect()
     assert len(got) == 572 and sum(r.n for r in got) == 4000
+
+
+def test_ordered_work_keeps_all_tasks_of_the_session(spark):
+    from parley.catalog.calls import service_json
+
+    items = spark.createDataFrame(
+        [(f"r{k}", 1, i, "pronunciation", f"w{i}", float(i), i + 0.5) for k in range(40) for i in range(5)],
+        "recording_id string, channel int, seq long, type string, content string, start double, end double",
+    )
+    assert tr.glue_punctuation(items, ["recording_id", "channel"]).rdd.getNumPartitions() == 4
+    words = items.select("recording_id", "channel", "seq", "start", "end", F.col("content").alias("text"))
+    for channels in (True, False):
+        assert service_json(words, channels).rdd.getNumPartitions() == 4
