@@ -11,6 +11,7 @@ from parley.adapters.tables import Tables
 from parley.catalog.registry import query
 from parley.operators import hooks
 from parley.operators import transcripts as tr
+from parley.session import settle
 
 
 def _length_gap(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -60,7 +61,7 @@ def _halves(words: pd.DataFrame) -> pd.DataFrame:
 def turns_by_hook(spark, sf):
     """A turn provider over words of the far end, and how many words its turns are given."""
     far = Tables(spark, sf).words.filter("channel = 1")
-    turns = hooks.provided_turns(far, hooks.Hook(_halves, ("start", "end"), "start double, end double, label string"), 600.0)
+    turns = settle(spark, hooks.provided_turns(far, hooks.Hook(_halves, ("start", "end"), "start double, end double, label string"), 600.0), "turns")
     words = tr.attribute(far, turns).groupBy("recording_id", "label", F.floor(F.col("start") / 600).alias("part")).agg(F.count("*").alias("words"))
     named = turns.withColumn("part", F.floor(F.col("start") / 600))
     return named.join(words, ["recording_id", "label", "part"]).select("recording_id", "label", "start", "end", "words")

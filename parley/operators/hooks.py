@@ -78,7 +78,8 @@ def provided_turns(rows: DataFrame, provider: Hook, span: float, at: str = "star
     names = provider.names()
     if sorted(names) != ["end", "label", "start"]:
         raise ValueError(f"a turn provider gives start, end and label, not {names}")
-    cut = rows.withColumn("_part", F.coalesce(F.floor(F.col(at) / span), F.lit(0)).cast("long"))
+    part = F.coalesce(F.floor(F.col(at) / span), F.lit(0)).cast("long").alias("_part")
+    cut = rows.select(part, *dict.fromkeys(["recording_id", at, *provider.takes]))
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         made = provider(batch.sort_values(at, kind="stable", na_position="first"), names, None)

@@ -60,3 +60,24 @@ def test_turns_come_by_stretches_in_order(spark):
     assert [r.label for r in got if r.recording_id == "s"] == ["n2"]
     none = df.filter("false")
     assert hooks.provided_turns(none, hooks.Hook(provider, ("start",), "start double, end double, label string"), 10.0).count() == 0
+
+
+def test_turns_of_the_query_are_found_once(spark, tmp_path):
+    from parley.catalog import QUERIES, hooks as catalog
+
+    calls = spark.sparkContext.accumulator(0)
+    plain = catalog._halves
+
+    def counted(words):
+        calls.add(1)
+        return plain(words)
+
+    turns = [(c, t, "assistant", "one two three four") for c in range(5) for t in range(2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    catalog._halves = counted
+    try:
+        found = QUERIES["turns_by_hook"](spark, str(tmp_path))
+        assert {(r.label, r.words) for r in found.collect()} == {("Them 1", 2), ("Them 2", 2)}
+    finally:
+        catalog._halves = plain
+    assert calls.value == 10
