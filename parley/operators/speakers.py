@@ -65,14 +65,25 @@ def links(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame
 def components(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest vec_id of each connected component.
 
-    Every round takes the smallest label among neighbours, then jumps to the
+    Recordings whose links already lead straight to the smallest, as those of
+    one block do, take no rounds. Every round takes the smallest label among neighbours, then jumps to the
     label's own label, so rounds grow with the logarithm of a component's
     diameter. State is written out between rounds; a lost executor replays one
     round, not the chain.
     """
-    both = links.select("recording_id", "a", "b").unionByName(
-        links.select("recording_id", F.col("b").alias("a"), F.col("a").alias("b"))
+    pairs = settle(spark, links.select("recording_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
+    sides = pairs.select("recording_id", F.col("a").alias("v"), F.lit(0).alias("n")).unionByName(pairs.select("recording_id", F.col("b").alias("v"), F.lit(1).alias("n")))
+    seen = sides.groupBy("recording_id", "v").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    # Where no end of a link is the start of another, or the end of two, the links are the answer.
+    knotted = settle(spark, seen.filter("n > 1 or (n = 1 and least = 0)").select("recording_id").distinct(), "knotted")
+    plain = nodes.join(knotted, "recording_id", "left_anti").select("recording_id", "vec_id").join(
+        pairs.join(knotted, "recording_id", "left_anti").select("recording_id", F.col("b").alias("vec_id"), F.col("a").alias("_root")), ["recording_id", "vec_id"], "left"
     )
+    plain = plain.select("recording_id", "vec_id", F.coalesce("_root", "vec_id").alias("comp"))
+    if knotted.isEmpty():
+        return plain
+    links, nodes = (df.join(knotted, "recording_id", "left_semi") for df in (pairs, nodes))
+    both = links.unionByName(links.select("recording_id", F.col("b").alias("a"), F.col("a").alias("b")))
     both = settle(spark, both, "links")
     state = settle(spark, nodes.select("recording_id", "vec_id", F.col("vec_id").alias("comp")), "comp")
     while True:
@@ -94,7 +105,7 @@ def components(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataF
         nxt = settle(spark, nxt, "comp")
         state = nxt.drop("_old")
         if nxt.filter(F.col("comp") != F.col("_old")).limit(1).count() == 0:
-            return state
+            return plain.unionByName(state)
 
 
 def number_speakers(assigned: DataFrame, order: str = "vec_id") -> DataFrame:
@@ -140,13 +151,13 @@ def pinned(spark: SparkSession, vectors: DataFrame, k: int, rounds: int | None =
     Centres start as vectors far from each other, out of at most ``32 * k`` of
     a recording. Every round assigns all vectors and sums them per (recording,
     centre) before anything moves, and writes the centres out, until no centre
-    moves. With ``rounds``, that many without an end are an error. A recording with fewer vectors than
+    moves; only recordings whose centres have moved take part in the next one. With ``rounds``, that many without an end are an error. A recording with fewer vectors than
     ``k`` has as many speakers as vectors.
     """
     v = vectors.select("recording_id", "vec_id", unit(F.col("embedding")).alias("u")).filter("u is not null")
     v = settle(spark, v, "vectors")
     centres = settle(spark, _seeds(v, k, 32 * k), "centres")
-    done = 0
+    done, ended = 0, None
     while True:
         if rounds is not None and done >= rounds:
             raise RuntimeError(f"speakers have not settled after {rounds} rounds")
@@ -154,12 +165,13 @@ def pinned(spark: SparkSession, vectors: DataFrame, k: int, rounds: int | None =
         member = v.join(centres, "recording_id").select("recording_id", _nearest().alias("comp"), array_to_vector("u").alias("x"))
         mean = member.groupBy("recording_id", "comp").agg(unit(vector_to_array(Summarizer.mean(F.col("x")))).alias("c"))
         moved = mean.groupBy("recording_id").agg(in_order(F.col("c"), F.col("comp")).alias("centres"))
-        moved = settle(spark, moved, "centres")
         steps = F.zip_with(F.flatten("centres"), F.flatten("_was"), lambda a, b: F.abs(a - b))
         shift = F.coalesce(F.array_max(steps), F.lit(0.0))
         both = moved.join(centres.withColumnRenamed("centres", "_was"), "recording_id")
-        still = both.filter((F.size("centres") != F.size("_was")) | (shift > 1e-9)).limit(1).count() == 0
-        centres = moved
-        if still:
+        moves = (F.size("centres") != F.size("_was")) | (shift > 1e-9)
+        both = settle(spark, both.select("recording_id", "centres", F.coalesce(moves, F.lit(False)).alias("_moves")), "centres")
+        still, centres = (both.filter(which).drop("_moves") for which in ("not _moves", "_moves"))
+        ended = still if ended is None else ended.unionByName(still)
+        if centres.isEmpty():
             break
-    return number_speakers(v.join(centres, "recording_id").select("recording_id", "vec_id", _nearest().alias("comp")))
+    return number_speakers(v.join(ended, "recording_id").select("recording_id", "vec_id", _nearest().alias("comp")))

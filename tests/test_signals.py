@@ -1,6 +1,7 @@
 """Signal metrics against numpy."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -185,3 +186,27 @@ def test_pinned_count_is_per_recording(spark):
     for r in speakers.pinned(spark, df, 3).collect():
         per.setdefault(r.recording_id, set()).add(r.speaker)
     assert {k: len(v) for k, v in per.items()} == {"r0": 3, "r1": 3, "one": 1}
+
+
+def test_settled_recordings_take_no_more_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [("still", i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(8)]
+    rows += [("moving", i, [rng.gauss(0, 1) for _ in range(2)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "recording_id string, vec_id long, embedding array<double>")
+    seen, plain = [], speakers.settle
+
+    def settle(spark, frame, name):
+        out = plain(spark, frame, name)
+        seen.append((name, out.count() if "centres" in name else 0))
+        return out
+
+    monkeypatch.setattr(speakers, "settle", settle)
+    found = speakers.pinned(spark, df, 3)
+    assert found.count() == len(rows)
+    rounds = [n for name, n in seen if name == "centres"][1:]
+    assert rounds[0] == 2 and rounds[-1] == 1 and len(rounds) > 2
+
+    seen.clear()
+    few = speakers.by_threshold(spark, df.filter("recording_id = 'still'"), 0.5)
+    assert sorted((r.vec_id, r.comp, r.speaker) for r in few.collect()) == [(i, i % 2, f"Them {i % 2 + 1}") for i in range(8)]
+    assert "comp" not in [name for name, _ in seen]
