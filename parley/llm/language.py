@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +46,19 @@ class Fusion:
     least: float = 0.5
 
 
-def _chunks(texts: list, bytes_each: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(texts: pa.Array, bytes_each: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Trigram bins of consecutive texts, some at a time: first, last + 1, bins, text of each bin, letters of each text.
 
     Only letters count: case is folded for ASCII, all else but letters is one
-    space, and trigrams of more than one space are left out.
+    space, and trigrams of more than one space are left out. Texts are read
+    from Arrow's memory one by one; what is held beside it is one chunk.
     """
     at = 0
     while at < len(texts):
         parts, owners, size, first = [], [], 0, at
         while at < len(texts) and (not parts or size < bytes_each):
-            raw = texts[at].encode("utf-8", "surrogatepass") if isinstance(texts[at], str) else b""
+            stored = texts[at].as_buffer()
+            raw = b"" if stored is None else stored.to_pybytes()
             b = np.frombuffer(b" " + raw.translate(_LETTERS) + b" ", np.uint8)
             parts.append(b)
             owners.append(len(b))
@@ -78,19 +80,19 @@ def fit_text_model(docs: DataFrame, languages: tuple[str, ...], text: str = "tex
     Every bin counts one row's trigram more than was seen.
     """
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), BINS), np.int64)
-        for pdf in frames:
-            row = pdf[declared].map({name: n for n, name in enumerate(languages)}).fillna(-1).to_numpy(int)
-            texts = pdf[text].tolist()
-            for first, last, bins, owner, _ in _chunks(texts):
+        number = {name: n for n, name in enumerate(languages)}
+        for batch in batches:
+            row = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()], int)
+            for first, last, bins, owner, _ in _chunks(batch.column(0)):
                 label = row[first:last][owner]
                 known = label >= 0
                 sums += np.bincount(label[known] * BINS + bins[known], minlength=sums.size).reshape(sums.shape)
         label, bins = np.nonzero(sums)
-        yield pd.DataFrame({"label": label.astype("int32"), "bin": bins.astype("int32"), "n": sums[label, bins]})
+        yield pa.RecordBatch.from_pydict({"label": label.astype("int32"), "bin": bins.astype("int32"), "n": sums[label, bins]})
 
-    partial = docs.filter(F.col(declared).isin(*languages)).select(text, declared).mapInPandas(count, "label int, bin int, n long")
+    partial = docs.filter(F.col(declared).isin(*languages)).select(text, declared).mapInArrow(count, "label int, bin int, n long")
     sums = np.ones((len(languages), BINS))
     for label, b, n in partial.groupBy("label", "bin").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
         sums[label, b] += n
@@ -104,15 +106,14 @@ def text_scores(model: np.ndarray, text: Column) -> Column:
     """
     table = np.ascontiguousarray(np.vstack([model, np.full((1, BINS), -np.log(BINS))]).T)
 
-    @F.pandas_udf("array<double>")
-    def score(values: pd.Series) -> pd.Series:
-        texts = values.tolist()
-        out: list = [None] * len(texts)
-        for first, last, bins, owner, letters in _chunks(texts):
+    @F.arrow_udf("array<double>")
+    def score(values: pa.Array) -> pa.Array:
+        out: list = [None] * len(values)
+        for first, last, bins, owner, letters in _chunks(values):
             sums = np.stack([np.bincount(owner, table[bins, k], last - first) for k in range(table.shape[1])], axis=1)
             for n in np.flatnonzero(letters):
                 out[first + n] = sums[n].tolist()
-        return pd.Series(out)
+        return pa.array(out, pa.list_(pa.float64()))
 
     return score(text)
 

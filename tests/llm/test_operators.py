@@ -419,3 +419,21 @@ def test_html(spark):
     found = {r.page_id: r.text for r in html_text.extract(pages, chain).collect()}
     assert found[1] == "Big & small\n\nFirst line\n\nSecond"
     assert found[2] == "" and found[3] == ""
+
+
+def test_language_reads_texts_from_arrow_piece_by_piece():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array(["", None, "été"] + ["some words of a page " * 500] * 2000)
+    tracemalloc.start()
+    letters = []
+    for first, last, bins, owner, n in language._chunks(texts):
+        assert len(n) == last - first and len(bins) == len(owner)
+        letters += n.tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert letters[:3] == [0, 0, 5] and set(letters[3:]) == {16 * 500} and len(letters) == len(texts)
+    assert peak < 32_000_000 < texts.nbytes
