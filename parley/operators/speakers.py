@@ -75,7 +75,10 @@ def components(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataF
     sides = pairs.select("recording_id", F.col("a").alias("v"), F.lit(0).alias("n")).unionByName(pairs.select("recording_id", F.col("b").alias("v"), F.lit(1).alias("n")))
     seen = sides.groupBy("recording_id", "v").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
     # Where no end of a link is the start of another, or the end of two, the links are the answer.
-    knotted = settle(spark, seen.filter("n > 1 or (n = 1 and least = 0)").select("recording_id").distinct(), "knotted")
+    # Recordings with a vec_id more than once take the rounds, too.
+    twice = nodes.groupBy("recording_id", "vec_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    open_ = seen.filter("n > 1 or (n = 1 and least = 0)").select("recording_id").unionByName(twice.select("recording_id"))
+    knotted = settle(spark, open_.distinct(), "knotted")
     plain = nodes.join(knotted, "recording_id", "left_anti").select("recording_id", "vec_id").join(
         pairs.join(knotted, "recording_id", "left_anti").select("recording_id", F.col("b").alias("vec_id"), F.col("a").alias("_root")), ["recording_id", "vec_id"], "left"
     )
