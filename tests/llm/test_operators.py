@@ -427,7 +427,7 @@ def test_language_reads_texts_from_arrow_piece_by_piece():
     import numpy as np
     import pyarrow as pa
 
-    texts = pa.array(["", None, "été"] + ["some words of a page " * 500] * 2000)
+    texts = pa.array(["", None, "été"] + ["some words of a page " * 500] * 4000)
     tracemalloc.start()
     letters = []
     for first, last, bins, owner, n in language._chunks(texts):
