@@ -254,3 +254,20 @@ def test_wide_and_narrow_bands_in_one_batch():
         pairs.append((a, b))
     for (a, b), (s, d, i) in zip(pairs, distance.batch_counts(pairs).tolist()):
         assert (s + d + i, s) == table(a, b) and len(a) - d + i == len(b)
+
+
+def test_bounds_leave_little_of_the_table(monkeypatch):
+    """Texts that lost, gained or exchanged words are counted without it; what is swapped needs a band of a few diagonals."""
+    filled = []
+    groups = distance._groups
+    monkeypatch.setattr(distance, "_groups", lambda shapes: filled.extend(shapes) or groups(shapes))
+    rng = random.Random(77)
+    a = [rng.randrange(300) for _ in range(400)]
+    lost = [w for i, w in enumerate(a) if i % 7 != 3]
+    swapped = [w if i % 5 != 2 else -1 for i, w in enumerate(a)]
+    assert distance.batch_counts([(a, lost), (lost, a), (a, swapped)]).tolist() == [[0, 57, 0], [0, 0, 57], [80, 0, 0]]
+    assert not filled
+    swapped[100:102] = swapped[101], swapped[100]
+    (s, d, i), = distance.batch_counts([(a, swapped)]).tolist()
+    assert (s + d + i, s) == table(a, swapped)
+    assert len(filled) == 1 and filled[0][3] <= 4
