@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_right
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from parley.functions import text
 from parley.functions.flow import hold
 from parley.operators.ordered import first, islands, rows, time_chunk
-from parley.session import settle
+from parley.session import dealt, settle
 
 SHINGLE = 5
 # Drift allowed around the estimated window.
@@ -45,8 +46,10 @@ def shingles(docs: DataFrame, key: str, tokens: Column, n: int | Sequence[int] =
     longest = F.array_max(F.filter(every, lambda k: k <= F.size("_t")))
     lengths = F.array(F.coalesce(longest, F.size("_t"))) if own else F.filter(every, lambda k: k <= F.size("_t"))
     cut = toks.select(key, "_t", F.explode(lengths).alias("_n"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("_t") - F.col("_n") + 1), lambda i: F.xxhash64(F.slice("_t", i, F.col("_n")), F.col("_n")))
-    return cut.select(key, F.posexplode(grams).alias("pos", "gram")).withColumn("pos", F.col("pos").cast("long"))
+    at = cut.select(key, "_t", "_n", F.explode(F.sequence(F.lit(0), F.size("_t") - F.col("_n"))).alias("pos"))
+    # A row a window, hashed token by token in compiled code: the same number as of the window's slice. NULL past the end changes no hash.
+    gram = F.xxhash64(*[F.when(F.col("_n") > j, F.get("_t", F.col("pos") + j)) for j in range(sizes[-1])], "_n")
+    return at.select(key, F.col("pos").cast("long").alias("pos"), gram.alias("gram"))
 
 
 def clip_matches(clips: DataFrame, references: DataFrame) -> DataFrame:
@@ -85,8 +88,8 @@ def best_spans(runs: DataFrame, n: int = SHINGLE) -> DataFrame:
     )
 
 
-def _chosen(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Pick runs of one gap: always the longest that is left, cut to the space between those already picked.
+def _chosen(least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pick runs of each gap, a row of ``_pair`` and its runs as arrays ``n``, ``a`` and ``b``: always the longest that is left, cut to the space between those already picked.
 
     Of equally long ones the earliest in ``a`` is taken, then the earliest in
     ``b``. What a pick leaves of a crossing run lies on one side of it, as no
@@ -94,8 +97,8 @@ def _chosen(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     next level.
     """
 
-    def pick(runs: pd.DataFrame) -> pd.DataFrame:
-        heap = [(-n, a, b) for n, a, b in zip(runs["n"].tolist(), runs["a"].tolist(), runs["b"].tolist())]
+    def pick(sizes: np.ndarray, firsts: np.ndarray, seconds: np.ndarray) -> list[tuple[int, int, int]]:
+        heap = [(-n, a, b) for n, a, b in zip(sizes.tolist(), firsts.tolist(), seconds.tolist())]
         heapq.heapify(heap)
         starts: list[int] = []
         picked: list[tuple[int, int, int]] = []
@@ -116,11 +119,16 @@ def _chosen(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 continue
             starts.insert(at, a)
             picked.insert(at, (a, b, n))
-        out = pd.DataFrame(picked, columns=["a", "b", "n"], dtype="int64")
-        out.insert(0, "_pair", runs["_pair"].iloc[0])
-        return out
+        return picked
 
-    return pick
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for gaps in batches:
+            picked = [pick(*runs) for runs in zip(gaps["n"], gaps["a"], gaps["b"])]
+            out = pd.DataFrame([p for runs in picked for p in runs], columns=["a", "b", "n"], dtype="int64")
+            out.insert(0, "_pair", np.repeat(gaps["_pair"].to_numpy(), [len(runs) for runs in picked]))
+            yield out
+
+    return run
 
 
 def common_runs(pairs: DataFrame) -> DataFrame:
@@ -176,7 +184,9 @@ def common_runs(pairs: DataFrame) -> DataFrame:
             .groupBy(*gap, "shift", "_run")
             .agg(F.min("a").alias("a"), F.min("b").alias("b"), (F.count("*") + (n - 1)).alias("n"))
         )
-        picked = runs.groupBy(*gap).applyInPandas(_chosen(n), "_pair long, a long, b long, n long")
+        # Dealt, as a gap is far more work than its bytes tell.
+        gathered = dealt(runs, *gap).groupBy(*gap).agg(F.collect_list(F.struct("n", "a", "b")).alias("_runs"))
+        picked = gathered.select("_pair", "_runs.n", "_runs.a", "_runs.b").mapInPandas(_chosen(n), "_pair long, a long, b long, n long")
         found = settle(spark, picked if found is None else found.unionByName(picked), "runs")
         gaps = _gaps(found, whole)
     return found

@@ -4,6 +4,8 @@ import difflib
 import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,3 +273,20 @@ def test_bounds_leave_little_of_the_table(monkeypatch):
     (s, d, i), = distance.batch_counts([(a, swapped)]).tolist()
     assert (s + d + i, s) == table(a, swapped)
     assert len(filled) == 1 and filled[0][3] <= 4
+
+
+def test_windows_are_rows_and_gaps_share_a_batch(spark):
+    """Windows are hashed in compiled code, to the number of their slice; gaps come by the batch, not one Python call each."""
+    docs = spark.createDataFrame([(1, ["a", None, "c", "d", "e", "f"]), (2, ["x"]), (3, [])], "id long, t array<string>")
+    found = alignment.shingles(docs, "id", F.col("t"), (1, 3, 5))
+    want = [
+        (r.id, p, spark.range(1).select(F.xxhash64(F.array(*[F.lit(w).cast("string") for w in r.t[p : p + n]]), F.lit(n))).first()[0])
+        for r in docs.collect() for n in (1, 3, 5) for p in range(len(r.t) - n + 1)
+    ]
+    assert sorted((r.id, r.pos, r.gram) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "slice(" not in plan
+    runs = lambda *r: [np.array(c) for c in zip(*r)]
+    gaps = [(4, *runs((3, 0, 0), (2, 2, 5))), (9, *runs((2, 1, 1)))]
+    (out,) = alignment._chosen(1)(iter([pd.DataFrame(gaps, columns=["_pair", "n", "a", "b"])]))
+    assert sorted(out[["_pair", "a", "b", "n"]].itertuples(index=False, name=None)) == [(4, 0, 0, 3), (4, 3, 6, 1), (9, 1, 1, 2)]
