@@ -92,7 +92,7 @@ class Pair:
         self.marked = [np.array([t[:1] == b" " for t in tokens]) for tokens in (a, b)]
         # How a token is written: within its group, at the end of its side, and, for the second side, at the end of its window.
         self.written = [f"{i}{sign}" for size, signs in ((len(a), ",|"), (len(b), ",;\n")) for sign in signs for i in range(size)]
-        self.windows: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
+        self.windows: dict[bytes, tuple[str, bytes]] = {}
 
     def aligned(self, texts: list[str]) -> list[tuple[int, int, str, bytes]]:
         """For each text the number of tokens of both, its groups and its links; nothing where a side does not spell the text."""
@@ -121,10 +121,13 @@ class Pair:
         # Windows begin where a token with a space, or a text, begins on both sides at the same byte.
         _, x, y = np.intersect1d(*starts, assume_unique=True, return_indices=True)
         edges = [np.append(place[i], len(tokens)) for place, i, tokens in zip(at, (x, y), flat)]
-        packed = [tokens.astype("<u4").tobytes() for tokens in flat]
-        cuts = [(4 * e).tolist() for e in edges]
-        a, b = packed
-        keys = [(a[i:j], b[m:n]) for i, j, m, n in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])]
+        # A window's key: ids of the first side, behind them those of the second, moved past all of the first.
+        mixed = np.empty(len(flat[0]) + len(flat[1]), "<u4")
+        sizes = [np.diff(e) for e in edges]
+        mixed[np.arange(len(flat[0])) + np.repeat(edges[1][:-1], sizes[0])] = flat[0]
+        mixed[np.arange(len(flat[1])) + np.repeat(edges[0][1:], sizes[1])] = flat[1] + np.uint32(len(self.bytes[0]))
+        packed, cuts = mixed.tobytes(), (4 * (edges[0] + edges[1])).tolist()
+        keys = [packed[i:j] for i, j in zip(cuts, cuts[1:])]
         met = list(map(self.windows.get, keys))
         new = {key: n for n, (key, found) in enumerate(zip(keys, met)) if found is None}
         if new:
@@ -132,7 +135,9 @@ class Pair:
             met = [made[key] if found is None else found for key, found in zip(keys, met)]
             if len(self.windows) + len(made) > REMEMBERED:
                 self.windows.clear()
-            self.windows.update(islice(((k, v) for k, v in made.items() if len(k[0]) + len(k[1]) <= 4 * REMEMBERED_TOKENS), REMEMBERED))
+            if len(made) > REMEMBERED or len(max(made, key=len)) > 4 * REMEMBERED_TOKENS:
+                made = dict(islice(((k, v) for k, v in made.items() if len(k) <= 4 * REMEMBERED_TOKENS), REMEMBERED))
+            self.windows.update(made)
         window = np.searchsorted(edges[0], begins[0]).tolist()
         for n, k in enumerate(spelled):
             groups = met[window[n] : window[n + 1]]

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import public_tokenizers
+import numpy as np
 import pytest
 
 from parley.llm import fill_middle, tokenizer_alignment, url_filters
@@ -126,6 +127,19 @@ def test_forgetting_windows_changes_nothing(monkeypatch):
     assert len(pair.windows) <= 3
 
 
+def test_a_window_is_one_key():
+    """Ids of both sides in one byte string, which keeps them apart, and far smaller than two in a tuple."""
+    pair = tokenizer_alignment.Pair(*FILES)
+    pair.aligned(["one two three " * 20, "wörd " + "x" * 3000])
+    first = len(pair.bytes[0])
+    for key, (shown, codes) in pair.windows.items():
+        ids = np.frombuffer(key, "<u4").tolist()
+        assert ids == sorted(ids, key=lambda i: i >= first)
+        groups = [g.split("|") for g in shown.split(";")]
+        assert ids == [int(i) for a, _ in groups for i in a.split(",")] + [int(i) + first for _, b in groups for i in b.split(",")]
+        assert len(codes) == 8 * len(groups)
+
+
 # Fill in the middle
 
 
