@@ -232,6 +232,28 @@ def test_near_lines(spark):
     assert {r.doc_id: r.n_dropped for r in found.collect()} == {1: 0, 2: 1, 3: 0}
 
 
+def test_sketches_keep_every_alike_pair_and_few_others(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    texts = ["", "é", "aaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaa"]
+    for n in (1, 2, 5, 12, 30, 60):
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            texts += [" ".join(base)]
+            for part in (0.02, 0.05, 0.3, 0.6):
+                texts.append(" ".join(w if rnd.random() > part else word() for w in base))
+    like = line_dedup.LineLikeness()
+    lines = line_dedup._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").dropDuplicates(["h1"])
+    known = {r.h1: r.line for r in lines.collect()}
+    ids = sorted(known)
+    every = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long")
+    links = {(a, b) for a in ids for b in ids if a < b and alike(known[a], known[b])}
+    kept = {(r.a, r.b) for r in line_dedup._may_be_alike(lines, every, like).collect()}
+    assert links and links <= kept
+    assert len(kept) <= every.count() / 10
+    assert {(r.a, r.b) for r in line_dedup._verified(lines, every, like).collect()} == links
+
+
 def byte_shingles(line):
     b = b"\n" * 4 + line.strip().lower().encode() + b"\n" * 4
     return {b[i : i + 5] for i in range(len(b) - 4)}
