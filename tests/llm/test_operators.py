@@ -254,6 +254,38 @@ def test_sketches_keep_every_alike_pair_and_few_others(spark):
     assert {(r.a, r.b) for r in line_dedup._verified(lines, every, like).collect()} == links
 
 
+def test_signatures_keep_every_alike_pair_and_few_others(spark):
+    """By the signatures alone, and with long lines of which only the hashes that can be minima are looked at."""
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    texts = ["é", "aaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaa"]
+    for n in (1, 3, 12, 60, 300, 900):
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            texts += [" ".join(base)]
+            for part in (0.02, 0.05, 0.3, 0.6):
+                texts.append(" ".join(w if rnd.random() > part else word() for w in base))
+    like = line_dedup.LineLikeness()
+    lines = line_dedup._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").dropDuplicates(["h1"])
+    known = {r.h1: r.line for r in lines.collect()}
+    ids = sorted(known)
+    signed = line_dedup._signatures(lines, like)
+    found = signed.collect()
+    assert sorted(r.id for r in found) == ids
+    codes = [v >> line_dedup.CODE * k & (1 << line_dedup.CODE) - 1 for r in found for v in r[1:] for k in range(like.minima)]
+    assert len(codes) == 55 * len(ids) and all(codes)
+    every = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long")
+    links = {(a, b) for a in ids for b in ids if a < b and alike(known[a], known[b])}
+    kept = {(r.a, r.b) for r in line_dedup._signed_alike(signed, every, like).collect()}
+    assert links and links <= kept
+    assert len(kept) <= every.count() / 10
+    met = {}
+    for r in line_dedup._buckets(signed, like).collect():
+        met.setdefault(r.bucket, set()).add(r.id)
+    assert len([1 for a, b in links if any(a in m and b in m for m in met.values())]) >= 0.95 * len(links)
+    assert {(r.a, r.b) for r in line_dedup._verified(lines, every, like, signed).collect()} == links
+
+
 def byte_shingles(line):
     b = b"\n" * 4 + line.strip().lower().encode() + b"\n" * 4
     return {b[i : i + 5] for i in range(len(b) - 4)}
