@@ -286,6 +286,51 @@ def test_signatures_keep_every_alike_pair_and_few_others(spark):
     assert {(r.a, r.b) for r in line_dedup._verified(lines, every, like, signed).collect()} == links
 
 
+def test_crossing_pairs_are_alike_or_nearly(spark, monkeypatch):
+    """Of a bucket of lines around a common passage, cut into blocks, every link between roots and hardly a pair beside them."""
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    passage = " ".join(word() for _ in range(24))
+    texts = []
+    for _ in range(30):
+        base = (passage + " " + " ".join(word() for _ in range(16))).split(" ")
+        for _ in range(3):
+            near = list(base)
+            near[rnd.randrange(24, 40)] = word()
+            texts.append(" ".join(near))
+    like = line_dedup.LineLikeness()
+    lines = line_dedup._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").dropDuplicates(["h1"])
+    known = {r.h1: r.line for r in lines.collect()}
+    ids = sorted(known)
+    links = {(a, b) for a in ids for b in ids if a < b and alike(known[a], known[b])}
+    signed = line_dedup._signatures(lines, like).persist()
+    apart = spark.createDataFrame([(1, i, i, len(ids)) for i in ids], "bucket long, id long, root long, n long")
+    for block in (1024, 7):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        found = [(r.a, r.b) for r in line_dedup._crossing(signed, lines, apart, like).collect()]
+        assert links and links <= set(found)
+        assert len(found) == len(set(found)) <= 1.2 * len(links)
+    # Lines that share no bucket of the signature are brought together by the other bands.
+    alone = spark.createDataFrame([(i, i, i, 17) for i in ids], "bucket long, id long, root long, n long")
+    assert links <= {(r.a, r.b) for r in line_dedup._crossing(signed, lines, alone, like).collect()}
+    # Those of one root are no pairs.
+    one = spark.createDataFrame([(1, i, 0, len(ids)) for i in ids], "bucket long, id long, root long, n long")
+    assert line_dedup._crossing(signed, lines, one, like).count() == 0
+
+
+def test_lines_of_huge_buckets_are_narrowed(spark, monkeypatch):
+    rnd = random.Random(15)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    passage = " ".join(word() for _ in range(36))
+    texts = [passage + " " + " ".join(word() for _ in range(5)) for _ in range(60)]
+    texts += [x[:-2] + "zz" for x in texts[:20]]
+    expected = dropped_by_brute(texts)
+    assert expected
+    for many in (1 << 16, 20):
+        monkeypatch.setattr(line_dedup, "MANY", many)
+        assert dropped_lines(spark, texts) == expected
+
+
 def byte_shingles(line):
     b = b"\n" * 4 + line.strip().lower().encode() + b"\n" * 4
     return {b[i : i + 5] for i in range(len(b) - 4)}
